@@ -7,19 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, mixing
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_quotas(read(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return bpe.digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_byte_bpe": op8_byte_bpe}
+    return {"op1_mixing": op1_mixing, "op8_byte_bpe": op8_byte_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
