@@ -15,9 +15,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 from operator import itemgetter
 
 import pyarrow as pa
@@ -29,8 +29,8 @@ from pyspark.sql.types import StructType
 
 from .common import small_batches
 
-#: Pre-tokens whose ids a worker remembers before it starts afresh.
-MEMO_LIMIT = 400_000
+#: Pre-tokens whose ids a worker remembers; as many again, the ones before them, are at hand.
+MEMO_LIMIT = 350_000
 #: White space in the sense of Unicode's White_Space property, written out so
 #: that it does not depend on a library's reading of ``\s``.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -100,43 +100,55 @@ class ByteBPE:
         self.parted = len(self.ranks)
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")).findall
         self.digits = [str(i) for i in range(len(self.ranks))]
-        self.memo: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.memo: dict[str, tuple[bytes, str, bytes]] = {}
+        self.older: dict[str, tuple[bytes, str, bytes]] = {}
 
-    def _keep(self, token: str, ids: tuple[int, ...]) -> None:
-        self.memo[token] = (ids, ",".join(map(self.digits.__getitem__, ids)), self.decode(ids))
+    def _keep(self, token: str, ids: list[int]) -> None:
+        self.memo[token] = (array("I", ids).tobytes(), ",".join(map(self.digits.__getitem__, ids)), self.decode(ids))
 
     def _learn(self, fresh: set[str]) -> None:
         if len(self.memo) + len(fresh) > MEMO_LIMIT:
-            self.memo.clear()
+            self.memo, self.older = {}, self.memo
         rest = []
         for t in fresh:
-            i = self.whole.get(t.encode())
-            if i is None:
-                rest.append(t)
+            known = self.older.get(t)
+            if known is not None:
+                self.memo[t] = known
+            elif (i := self.whole.get(t.encode())) is not None:
+                self._keep(t, [i])
             else:
-                self._keep(t, (i,))
+                rest.append(t)
+        if not rest:
+            return
         # UTF-8 has no byte 0xFF: it parts the pre-tokens, as a character that no
         # piece holds, so one call encodes all of them and merges cross none
         joined = b"\xff".join([t.encode() for t in rest]).decode("latin-1").translate(self.to_chars)
-        ids, at = self.model.encode(joined) if rest else [], 0
-        ends = [i for i, x in enumerate(ids) if x == self.parted]
-        for t, end in zip(rest, [*ends, len(ids)], strict=True):
-            self._keep(t, tuple(ids[at:end]))
+        ids, at = self.model.encode(joined), 0
+        for t in rest:
+            try:
+                end = ids.index(self.parted, at)
+            except ValueError:
+                end = len(ids)
+            self._keep(t, ids[at:end])
             at = end + 1
 
-    def entries(self, text: str) -> list[tuple]:
-        """(ids, decimal ids joined, decoded bytes) of each pre-token of ``text``."""
+    def entries(self, text: str) -> list[tuple[bytes, str, bytes]]:
+        """(packed ids, decimal ids joined, decoded bytes) of each pre-token of ``text``."""
         tokens = self.split(text)
         try:
             return list(map(self.memo.__getitem__, tokens))
         except KeyError:
-            fresh = set(tokens)
-            known = len(self.memo) + len(fresh) <= MEMO_LIMIT
-            self._learn({t for t in fresh if t not in self.memo} if known else fresh)
+            distinct = set(tokens)
+            fresh = {t for t in distinct if t not in self.memo}
+            if len(self.memo) + len(fresh) > MEMO_LIMIT:
+                fresh = distinct
+            self._learn(fresh)
             return list(map(self.memo.__getitem__, tokens))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(itemgetter(0), self.entries(text))))
+        packed = array("I")
+        packed.frombytes(b"".join(map(itemgetter(0), self.entries(text))))
+        return packed.tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.ranks.__getitem__, ids))
@@ -195,7 +207,7 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple
 def _digest(bpe: ByteBPE, text: str) -> tuple[int, str, str]:
     entries = bpe.entries(text)
     ids, digits, decoded = zip(*entries, strict=True) if entries else ((), (), ())
-    return sum(map(len, ids)), hashlib.sha256(",".join(digits).encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
+    return sum(map(len, ids)) // array("I").itemsize, hashlib.sha256(",".join(digits).encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
 
 
 def digests(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
