@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing
+from . import bpe, mixing, quality
 from .common import read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -23,8 +23,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = read(spark, sf_dir, "labels").where("quality = 1")
+    return quality.judge(read(spark, sf_dir, "documents"), trusted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op8_byte_bpe": op8_byte_bpe}
+    return {"op1_mixing": op1_mixing, "op8_byte_bpe": op8_byte_bpe, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
