@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality
-from .common import read
+from . import bpe, langid, mixing, quality, toxicity
+from .common import fold, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -18,6 +19,19 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 3) == 1)
+    model = langid.train(docs.where("not held_out"))
+    return langid.predict(docs, model, keep=("doc_id", "held_out"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = toxicity.train(docs.where("not held_out"), labels)
+    return toxicity.score(docs, model, keep=("doc_id", "held_out"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return bpe.digests(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
@@ -29,7 +43,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op8_byte_bpe": op8_byte_bpe, "op10_quality": op10_quality}
+    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op5_toxicity": op5_toxicity, "op8_byte_bpe": op8_byte_bpe, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
