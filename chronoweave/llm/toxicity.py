@@ -6,8 +6,8 @@ minus the product of what the sentences leave over. Only documents have labels:
 the gradient of the noisy-or hands each document's label down to the sentences
 that explain it, and these are then the ones :func:`locate` finds.
 
-Training runs in numpy on a bounded sample of labelled documents; weights are
-kept for features that occur in several of them.
+Training runs in numpy on a bounded sample of labelled documents, over the
+features that set toxic documents of the sample apart.
 
 Defined results: a null or empty text has no sentence and scores 0; without
 any labelled document every score is 0; repeated rows score alike.
@@ -29,14 +29,18 @@ from .common import small_batches
 
 @dataclass(frozen=True)
 class Settings:
-    bits: int = 18
+    bits: int = 22
     #: Lengths in bytes of the word beginnings that are features beside the word.
     beginnings: tuple[int, ...] = (4, 5, 6)
     #: Bound of the sample: so many documents of either label, by a seeded hash.
     docs_per_label: int = 2500
-    #: Documents of the sample that must hold a feature for it to have a weight.
+    #: A feature has a weight if at least so many documents of the sample hold it
+    #: and its shares among toxic and other documents differ by so many standard errors.
     least_docs: int = 3
-    epochs: int = 15
+    least_z: float = 4.5
+    epochs: int = 20
+    #: Steps at least, by more epochs where the sample is small.
+    steps: int = 3000
     batch: int = 32
     rate: float = 0.3
     decay: float = 1e-4
@@ -47,9 +51,18 @@ class Settings:
 @dataclass
 class Model:
     settings: Settings
-    weights: np.ndarray | None = None
+    ids: np.ndarray | None = None  # the features that have weights
+    values: np.ndarray | None = None
     bias: float = 0.0
 
+    def table(self) -> np.ndarray | None:
+        """Weights by feature; None without a model."""
+        if self.ids is None:
+            return None
+        w = np.zeros(1 << self.settings.bits, np.float32)
+        w[self.ids] = self.values
+        return w
+
 
 def _separators() -> tuple[np.ndarray, np.ndarray]:
     """(bytes outside words, bytes that end a sentence); words: ASCII letters, digits, non-ASCII."""
@@ -102,8 +115,8 @@ def _sums(values: np.ndarray, before: np.ndarray) -> np.ndarray:
     return c[before[1:]] - c[before[:-1]]
 
 
-def sentence_scores(b: Bags, model: Model) -> np.ndarray:
-    z = _sums(model.weights[b.ids], b.per_sentence) + model.bias
+def sentence_scores(b: Bags, table: np.ndarray, bias: float) -> np.ndarray:
+    z = _sums(table[b.ids], b.per_sentence) + bias
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -142,22 +155,36 @@ def _sample(docs: DataFrame, labels: DataFrame, s: Settings, text: str, label: s
     return [(r["y"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["per"], np.int32)) for r in got]
 
 
+def _narrow(row: tuple, place: np.ndarray) -> tuple:
+    """The row with its chosen features only, numbered by ``place``."""
+    y, ids, lens = row
+    at = place[ids]
+    own = np.repeat(np.arange(len(lens)), lens)
+    return y, at[at >= 0], np.bincount(own[at >= 0], minlength=len(lens))
+
+
 def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text: str = "text", label: str = "toxic", key: str = "doc_id") -> Model:
     """Fit on the texts of ``docs`` that ``labels`` (``key``, ``label`` 0 or 1) marks."""
     rows = [r for r in _sample(docs, labels, s, text, label, key) if len(r[1])]
     model = Model(s)
     if not rows:
         return model
-    size = 1 << s.bits
-    docs = np.zeros(size, np.int32)
-    for _, ids, _ in rows:
-        docs[np.unique(ids)] += 1
-    known = docs >= s.least_docs
+    held = np.zeros((2, 1 << s.bits))
+    total = np.array([sum(r[0] == k for r in rows) for k in (0, 1)], float)
+    for y, ids, _ in rows:
+        held[y, np.unique(ids)] += 1
+    n0, n1 = np.maximum(total, 1)
+    both = held.sum(0) / (n0 + n1)
+    z = (held[1] / n1 - held[0] / n0) / np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n0 + 1 / n1))
+    chosen = np.flatnonzero((held.sum(0) >= s.least_docs) & (np.abs(z) >= s.least_z))
+    place = np.full(1 << s.bits, -1, np.int32)
+    place[chosen] = np.arange(len(chosen))
+    rows = [_narrow(r, place) for r in rows]
+    size = len(chosen)
     w, b = np.zeros(size), s.start_bias
     seen, seen_b = np.full(size, 1e-2), 1e-2
     rng = np.random.default_rng(s.seed)
-    share = max(1, sum(r[0] == 1 for r in rows)) / len(rows)
-    for _ in range(s.epochs):
+    for _ in range(max(s.epochs, -(-s.steps * s.batch // len(rows)))):
         order = rng.permutation(len(rows))
         for i in range(0, len(order), s.batch):
             part = [rows[k] for k in order[i : i + s.batch]]
@@ -168,8 +195,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text: st
             per_text = np.concatenate([[0], np.cumsum([len(r[2]) for r in part])])
             p = 1 / (1 + np.exp(-np.clip(_sums(w[ids], before) + b, -40, 40)))
             whole = np.clip(document_scores(p, per_text), 1e-9, 1 - 1e-9)
-            weight = np.where(y == 1, 0.5 / share, 0.5 / max(1e-9, 1 - share))
-            hand_down = np.where(y == 1, -(1 - whole) / whole, 1.0) * weight
+            hand_down = np.where(y == 1, -(1 - whole) / whole, 1.0)
             g = np.repeat(hand_down, np.diff(per_text)) * p
             touched = np.bincount(ids, np.repeat(g, lens), size) / len(part)
             at = np.flatnonzero(touched)
@@ -179,8 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text: st
             gb = g.sum() / len(part)
             seen_b += gb**2
             b -= s.rate * gb / np.sqrt(seen_b)
-        w[~known] = 0.0
-    model.weights, model.bias = w.astype(np.float32), float(b)
+    model.ids, model.values, model.bias = chosen.astype(np.int32), w.astype(np.float32), float(b)
     return model
 
 
@@ -191,14 +216,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
     schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer").add("n_sentences", "long").add("n_offending", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
         for b in batches:
             n = b.num_rows
             got, sentences, bad = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64)
-            if model.weights is not None:
+            if table is not None:
                 data, off = textnp.buffers(b.column("__text"))
                 for i, j, d, o in textnp.pieces(data, off):
                     x = bags(d, o, model.settings)
-                    p = sentence_scores(x, model)
+                    p = sentence_scores(x, table, model.bias)
                     got[i:j] = document_scores(p, x.per_text)
                     sentences[i:j] = np.diff(x.per_text)
                     bad[i:j] = _sums(p >= threshold, x.per_text)
@@ -218,13 +244,14 @@ def locate(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
         for b in batches:
-            if model.weights is None:
+            if table is None:
                 continue
             data, off = textnp.buffers(b.column("__text"))
             for i, _, d, o in textnp.pieces(data, off):
                 x = bags(d, o, model.settings)
-                p = sentence_scores(x, model)
+                p = sentence_scores(x, table, model.bias)
                 hit = np.flatnonzero(p >= threshold)
                 own = np.searchsorted(x.per_text, hit, "right") - 1
                 spans = [bytes(d[u:v]).decode("utf-8", "replace") for u, v in zip(x.start[hit], x.end[hit], strict=True)]
