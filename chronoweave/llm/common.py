@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -67,3 +68,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner see that finished jobs' shuffle files have no reader any more."""
+    gc.collect()
+    spark._jvm.System.gc()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, neardup, quality, topk, toxicity
+from . import bpe, chat, langid, mixing, neardup, quality, suffixdedup, topk, toxicity
 from .common import fold, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,11 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep=("doc_id", "held_out"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.repeated_passages(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -90,7 +95,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_chat": op3_chat, "op9_near_duplicates": op9_near_duplicates, "op7_top_k": op7_top_k, "op5_toxicity": op5_toxicity, "op8_byte_bpe": op8_byte_bpe, "op10_quality": op10_quality}
+    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_chat": op3_chat, "op9_near_duplicates": op9_near_duplicates, "op7_top_k": op7_top_k, "op6_suffix_array": op6_suffix_array, "op5_toxicity": op5_toxicity, "op8_byte_bpe": op8_byte_bpe, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
