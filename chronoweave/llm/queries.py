@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, neardup, quality, suffixdedup, topk, toxicity
+from . import bpe, chat, langid, lm, mixing, neardup, quality, suffixdedup, topk, toxicity
 from .common import fold, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,10 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.segments(told.unionByName(own))).drop("valid")
 
 
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"), fold(F.col("doc_id"), 7) == 2)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").withColumn("held_out", fold(F.col("doc_id"), 5) == 0)
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -95,7 +99,7 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_chat": op3_chat, "op9_near_duplicates": op9_near_duplicates, "op7_top_k": op7_top_k, "op6_suffix_array": op6_suffix_array, "op5_toxicity": op5_toxicity, "op8_byte_bpe": op8_byte_bpe, "op10_quality": op10_quality}
+    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_chat": op3_chat, "op9_near_duplicates": op9_near_duplicates, "op7_top_k": op7_top_k, "op6_suffix_array": op6_suffix_array, "op4_lm_scores": op4_lm_scores, "op5_toxicity": op5_toxicity, "op8_byte_bpe": op8_byte_bpe, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
