@@ -218,6 +218,15 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tu
     return _over(df, _digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", path, pattern, text, list(keep))
 
 
+def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep``, ids, n_tokens and the SHA-256 of ids and decoded bytes of each whole text (null: empty)."""
+
+    def both(bpe: ByteBPE, t: str) -> tuple:
+        return (bpe.encode(t), *_digest(bpe, t))
+
+    return _over(df, both, "ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string", path, pattern, text, list(keep))
+
+
 def round_trip_text(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with ``text`` replaced by its decoded encoding (equal for valid UTF-8), ids alongside."""
     small_batches(df.sparkSession)
