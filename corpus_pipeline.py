@@ -1,11 +1,86 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline over ``documents``: filter, near duplicates, passages, mixing, tokens.
 
-STAGES = []
+Each stage takes ``(spark, docs, sf_dir)`` and works on all that the one before
+kept; :func:`run` writes what a stage returns as Parquet into the folder that
+driver and executors share, and reads it again. All but the last return the
+columns of ``documents``, ``n_chars`` brought up to date with the text.
+
+Defined results: a null text is kept by the toxicity filter, linked with
+nothing, has no passages, and drops out of the mix, which takes no words of it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chronoweave.llm import bpe, mixing, neardup, suffixdedup, toxicity
+from chronoweave.llm.common import table
+from chronoweave.llm.queries import VOCABULARY
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, trained on all labels, does not reject."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.train(docs, labels)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("text").alias("__scored"))
+    scored = toxicity.score(rows, model, text="__scored", keep=("__row",))
+    return scored.where("predicted = 0").select("__row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the least id, once; rows without an id stay."""
+    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 200 bytes and more that also stand elsewhere; emptied texts go."""
+    left = suffixdedup.repeated_passages(docs, with_text=True).where("n_removed > 0")
+    left = left.select(F.col("doc_id").alias("__id"), F.col("kept_text").alias("__kept"))
+    got = docs.join(left, docs["doc_id"] == left["__id"], "left")
+    text = F.coalesce("__kept", "text")
+    kept = F.col("__kept").isNull() | F.col("__kept").rlike(r"[^\x20\x09-\x0D]")
+    return got.where(kept).select(*[_renewed(c, text) for c in docs.columns])
+
+
+def _renewed(column: str, text):
+    """A column of ``documents`` after its text changed."""
+    if column == "text":
+        return text.alias("text")
+    return F.length(text).cast("long").alias("n_chars") if column == "n_chars" else F.col(f"`{column}`")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources by the weights of :class:`mixing.Mix`; repeated documents are repeated rows."""
+    mixed = mixing.mixed_texts(docs)
+    return mixed.select(*[_renewed(c, F.col("text")) for c in docs.columns])
+
+
+def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row with its token ids, their number, and the digests of ids and decoded bytes."""
+    path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
+    return bpe.encoded(docs, path, pattern, keep=("doc_id", "source"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_array", cut_passages),
+    ("mixing", mix_sources),
+    ("byte_bpe", encode_bytes),
+]
+
+#: No stage but the mixing's quotas can be put in SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; the result of each but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs, _ = table(spark, docs)
     return docs
