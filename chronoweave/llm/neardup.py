@@ -9,16 +9,17 @@
     matter: large sets stop after a visit or two.
 3.  Banding: ``bands`` bands of ``rows`` slots are keys; classes that share a key
     are candidates. A class is compared with the least class among those of all
-    its keys; verified links group the classes. What is then still in different
-    groups of one key is compared too, in blocks, before which signatures sort
-    out what is far from the threshold.
+    its keys; verified links group the classes. Where a key still holds several
+    groups, signatures tell in blocks which may be linked; what may be linked,
+    directly or through others, is a cluster, and inside a cluster every pair of
+    different groups is compared.
 4.  Verification: candidates are confirmed on their full sets by exact counts.
 5.  Grouping: links are contracted by union-find in each partition and then
     joined across partitions by stars, in a number of rounds that grows with the
     logarithm of the longest chain.
 
-No key's members are ever paired all with all, links never reach the driver,
-and there is no cap on a key's size.
+Comparisons inside a key or a cluster give a spanning forest, never a row a
+pair; links never reach the driver, and there is no cap on a key's size.
 
 Defined results: a text without words has an empty set and no links; with fewer
 words than a shingle has, the whole sequence is its one shingle; rows with a
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import drop_table, small_batches, table
+from .common import drop_table, release, small_batches, table
 
 U64 = np.uint64
 
@@ -50,7 +51,9 @@ class Settings:
     #: Signature agreement below which two classes are not compared: at a
     #: similarity of 0.75 it lies over four standard deviations below the mean.
     least_agreement: float = 0.58
+    #: Classes of a block whose signatures, and whose full sets, are compared at once.
     block: int = 512
+    unit: int = 256
 
     @property
     def slots(self) -> int:
@@ -149,10 +152,8 @@ def signatures(docs: DataFrame, s: Settings, text: str, key: str) -> DataFrame:
     return rows.mapInArrow(run, "doc long, n_shingles long, set_hash long, keys array<long>, sig binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, s: Settings, text: str, key: str) -> DataFrame:
-    """Those (a, b) of ``pairs`` that reach the threshold on their full sets."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _sets(wanted: DataFrame, docs: DataFrame, s: Settings, text: str, key: str) -> DataFrame:
+    """(doc, shingles) of the documents in ``wanted`` (doc), whose texts are dealt by id once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,42 +162,135 @@ def _verified(pairs: DataFrame, docs: DataFrame, s: Settings, text: str, key: st
                 sets += [w[i:j].view(np.int64) for i, j in zip(before[:-1], before[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
 
-    wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__text"))
-    sets = texts.join(wanted, "doc", "left_semi").mapInArrow(run, "doc long, shingles array<long>")
-    sets, path = table(spark, sets)
+    return texts.join(wanted.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(run, "doc long, shingles array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Those (a, b) of ``pairs`` that reach the threshold on their full sets."""
     left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
     # the side that may be hot joins last: its rows then weigh what they are, and
     # Spark splits its partition by size
-    good = pairs.join(right, "b").join(left, "a").where(both * 100 >= union * s.percent).select("a", "b").distinct()
-    good, _ = table(spark, good)
-    drop_table(spark, path)
-    return good
+    good = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(both * 100 >= union * s.percent)
+    return table(pairs.sparkSession, good.select("a", "b"))[0]
 
 
-def _contract(edges: DataFrame) -> DataFrame:
-    """A spanning forest of each partition's links, by union-find."""
+def _clusters(grouped: DataFrame, s: Settings) -> DataFrame:
+    """Links (a, b) that join what may be linked: classes of one key in different groups whose signatures agree enough.
+
+    ``grouped``: key, cls, group, sig. A key's classes are cut into blocks of
+    about ``s.block``; each pair of blocks is one row of work, and of the
+    agreeing pairs only a spanning forest comes out.
+    """
+    spark = grouped.sparkSession
+    small_batches(spark, 16)
+    found = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
+    keys, _ = table(spark, found.where("lo <> hi").select("key", F.ceil(F.col("n") / s.block).alias("blocks")))
+    placed = grouped.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    blocks = placed.groupBy("key", "block").agg(F.collect_list(F.struct("cls", "group", "sig")).alias("members"))
+    left = blocks.select("key", F.col("block").alias("i"), F.col("members").alias("x"))
+    right = blocks.select("key", F.col("block").alias("j"), F.col("members").alias("y"))
+    work = left.join(right, "key").where("i <= j").select("x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
+        least = int(np.ceil(s.least_agreement * s.slots))
+        for b in batches:
+            out: list[tuple[int, int]] = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                sides = []
+                for v in (x.values, y.values):
+                    sig = np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint8).reshape(-1, s.slots)
+                    sides.append((np.asarray(v.field("cls")), np.asarray(v.field("group")), sig))
+                (ca, ga, sa), (cb, gb, sb) = sides
+                forest = Forest()
+                for i in range(len(ca)):
+                    hit = np.flatnonzero(((sb == sa[i]).sum(1) >= least) & (gb != ga[i]))
+                    out += [(int(ca[i]), int(cb[h])) for h in hit if forest.join(int(ga[i]), int(gb[h]))]
+            yield _pairs(out)
+
+    return work.mapInArrow(run, "a long, b long").distinct()
+
+
+class Forest:
+    """Union-find over any integers; of linked ones the least is the root."""
+
+    def __init__(self) -> None:
+        self.parent: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        root, up = x, self.parent
+        while (to := up.get(root, root)) != root:
+            root = to
+        while x != root:
+            up[x], x = root, up.get(x, x)
+        return root
+
+    def join(self, a: int, b: int) -> bool:
+        """Link a and b; were they apart?"""
+        a, b = self.find(a), self.find(b)
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+        return a != b
+
 
-        def find(x: int) -> int:
-            root = x
-            while (up := parent.get(root, root)) != root:
-                root = up
-            while x != root:
-                parent[x], x = root, parent.get(x, x)
-            return root
+def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*rows, strict=True) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
+
+def _exact(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """All links inside clusters that still hold several groups, as spanning forests of blocks.
+
+    ``members``: cluster, cls, group. A cluster is cut into blocks; each pair of
+    blocks is one task's unit, in which every pair of different groups is
+    compared on its full sets.
+    """
+    spark = members.sparkSession
+    found = members.groupBy("cluster").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
+    open_, _ = table(spark, found.where("lo <> hi").select("cluster", F.ceil(F.col("n") / s.unit).alias("blocks")))
+    placed = members.join(open_, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    each = placed.select("cluster", "cls", "group", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    units = each.select("cluster", "cls", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    loaded = units.join(sets.withColumnRenamed("doc", "cls").hint("merge"), "cls")
+
+    def run(t: pa.Table) -> pa.Table:
+        cls, group, block = (t.column(c).to_numpy() for c in ("cls", "group", "block"))
+        lists = t.column("shingles").combine_chunks()
+        flat, off = lists.values.to_numpy(), lists.offsets.to_numpy()
+        flat = flat[off[0] : off[-1]]
+        off = off - off[0]
+        _, ids = np.unique(flat, return_inverse=True)
+        size = np.diff(off)
+        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+        forest, out = Forest(), []
+        mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int32)
+        for k in np.flatnonzero(block == i):
+            mine = ids[off[k] : off[k + 1]]
+            mark[mine] = 1
+            common = np.add.reduceat(mark[ids], off[:-1])
+            mark[mine] = 0
+            near = (100 * common >= s.percent * (size + size[k] - common)) & (group != group[k]) & (block == j)
+            for m in np.flatnonzero(near):
+                if forest.join(int(group[k]), int(group[m])):
+                    out.append((int(cls[k]), int(cls[m])))
+        return pa.Table.from_batches([_pairs(out)])
+
+    return table(spark, loaded.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long"))[0]
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """A spanning forest of each partition's links, by union-find."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
         for b in batches:
             for u, v in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True):
-                ru, rv = find(u), find(v)
-                if ru != rv:
-                    parent[max(ru, rv)] = min(ru, rv)
-        nodes = [x for x in parent if find(x) != x]
+                forest.join(u, v)
+        find = forest.find
+        nodes = [x for x in forest.parent if find(x) != x]
         for i in range(0, len(nodes), 1 << 16):
             part = nodes[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], names=["u", "v"])
@@ -242,44 +336,6 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def _still_apart(keyed: DataFrame, s: Settings) -> DataFrame:
-    """Candidate pairs (a, b) of one key in different groups, whose signatures agree enough.
-
-    ``keyed``: key, cls, group, sig. A key's classes are cut into blocks of
-    ``s.block``; each pair of blocks is one row of work, and only pairs that the
-    signatures do not rule out come out.
-    """
-    spark = keyed.sparkSession
-    found = keyed.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
-    groups, _ = table(spark, found.where("lo <> hi").select("key", F.ceil(F.col("n") / s.block).alias("blocks")))
-    apart = keyed.join(groups, "key")
-    numbered = apart.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-    blocks = numbered.groupBy("key", "block").agg(F.collect_list(F.struct("cls", "group", "sig")).alias("members"))
-    left = blocks.select("key", F.col("block").alias("i"), F.col("members").alias("x"))
-    right = blocks.select("key", F.col("block").alias("j"), F.col("members").alias("y"))
-    work = left.join(right, "key").where("i <= j").select("x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = int(np.ceil(s.least_agreement * s.slots))
-        for b in batches:
-            a_all, b_all = [], []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                sides = []
-                for v in (x.values, y.values):
-                    sig = np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint8).reshape(-1, s.slots)
-                    sides.append((np.asarray(v.field("cls")), np.asarray(v.field("group")), sig))
-                (ca, ga, sa), (cb, gb, sb) = sides
-                for i in range(len(ca)):
-                    agree = (sb == sa[i]).sum(1)
-                    hit = np.flatnonzero((agree >= least) & (gb != ga[i]) & (cb > ca[i]))
-                    a_all += [int(ca[i])] * len(hit)
-                    b_all += cb[hit].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(a_all, pa.int64()), pa.array(b_all, pa.int64())], names=["a", "b"])
-
-    small_batches(spark)
-    return work.mapInArrow(run, "a long, b long").distinct()
-
-
 def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row a document: doc_id, n_shingles, component_id (the least id reachable), kept."""
     spark = docs.sparkSession
@@ -293,16 +349,28 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
     shared, shared_path = table(spark, shared)
     near = keyed.join(shared, "key").groupBy("cls").agg(F.min("least").alias("a")).where("a < cls").select("a", F.col("cls").alias("b"))
     near, _ = table(spark, near)
-    links = _verified(near, docs, s, text, key)
+    release(spark)
+    # full sets of every class that shares a key with another
+    wanted = keyed.join(shared, "key", "left_semi").select(F.col("cls").alias("doc")).distinct()
+    sets, sets_path = table(spark, _sets(wanted, docs, s, text, key))
+    release(spark)
+    links = _verified(near, sets, s)
     groups = components(links)
+    release(spark)
 
     grouped = keyed.join(shared, "key", "left_semi").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     grouped, grouped_path = table(spark, grouped.select("key", "cls", "sig", F.coalesce("component", "cls").alias("group")))
-    rest, _ = table(spark, _still_apart(grouped, s).join(near, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        groups = components(links.union(_verified(rest, docs, s, text, key)))
-    for path in (keyed_path, shared_path, grouped_path):
+    maybe, _ = table(spark, _clusters(grouped, s))
+    if not maybe.isEmpty():
+        # a cluster: all that verified and possible links join; a class without any is its own
+        joined = components(links.union(maybe)).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
+        roots = joined.select(F.col("cluster").alias("cls"), "cluster").distinct()
+        members = joined.union(roots).join(groups.withColumnRenamed("node", "cls"), "cls", "left")
+        members, _ = table(spark, members.select("cluster", "cls", F.coalesce("component", "cls").alias("group")))
+        groups = components(links.union(_exact(members, sets, s)))
+    for path in (keyed_path, shared_path, grouped_path, sets_path):
         drop_table(spark, path)
+    release(spark)
 
     of = classes.select(F.col("set_hash").alias("__h"), F.col("n_shingles").alias("__n"), "cls")
     mine = (F.col("set_hash") == F.col("__h")) & (F.col("n_shingles") == F.col("__n")) & F.col("doc").isNotNull()
