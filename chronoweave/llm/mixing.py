@@ -210,7 +210,7 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), text: str = "text", doc_id: s
     chosen = F.filter(words, lambda _, i: F.floor((block(i) + 1 + u) * r / n) > F.floor((block(i) + u) * r / n))
     part = F.when(F.col("taken") > F.col("passes") * F.col("size"), F.array_join(chosen, ""))
     copies = F.concat(
-        F.when(F.col("passes") > 0, F.array_repeat(F.col(whole), F.col("passes").cast("int"))).otherwise(F.array().cast("array<string>")),
+        F.when((F.col("passes") > 0) & (F.col("size") > 0), F.array_repeat(F.col(whole), F.col("passes").cast("int"))).otherwise(F.array().cast("array<string>")),
         F.when(part.isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")),
     )
     out = taken.withColumn("__copy", F.explode(copies))
