@@ -6,6 +6,8 @@ import gc
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +53,18 @@ def table(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def two_tables(spark: SparkSession, df: DataFrame, flag: Column) -> tuple[DataFrame, str, DataFrame, str]:
+    """Like :func:`table`, rows by ``flag`` apart: (those of true, their path, the others, their path)."""
+    path = f"{shared_dir(spark)}/chronoweave-{uuid.uuid4().hex}"
+    df.withColumn("__flag", flag.cast("int")).write.partitionBy("__flag").option("compression", "zstd").parquet(path)
+    out: list = []
+    for part in (f"{path}/__flag=1", f"{path}/__flag=0"):
+        there = spark._jvm.org.apache.hadoop.fs.Path(part)
+        found = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
+        out += [spark.read.schema(df.schema).parquet(part) if found else spark.createDataFrame([], df.schema), part]
+    return tuple(out)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table made by :func:`table` that no live plan reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -74,3 +88,14 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner see that finished jobs' shuffle files have no reader any more."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+def packed(x: np.ndarray) -> bytes:
+    """The array's bytes, compressed."""
+    return pa.Codec("zstd").compress(x.tobytes(), asbytes=True) if x.nbytes else b""
+
+
+def unpacked(b: bytes, n: int, kind: type) -> np.ndarray:
+    """The ``n`` numbers of type ``kind`` that :func:`packed` wrote."""
+    size = n * np.dtype(kind).itemsize
+    return np.frombuffer(pa.Codec("zstd").decompress(b, size, asbytes=True), kind) if n else np.zeros(0, kind)

@@ -32,9 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import release, shuffle_parts, small_batches, table
+from .common import drop_table, packed, release, shuffle_parts, small_batches, table, two_tables, unpacked
 from .eliasfano import Trie
-from .suffixdedup import _unzip, _zip
 
 U64 = np.uint64
 END = U64(0x454E44)  # stands for the end token among word hashes
@@ -45,7 +44,7 @@ STEP = 9.0 / 254
 @dataclass(frozen=True)
 class Settings:
     discount: float = 0.75
-    block_bytes: int = 1 << 22
+    block_bytes: int = 1 << 23
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -91,11 +90,11 @@ def _blocks(docs: DataFrame, s: Settings, shards: int) -> DataFrame:
             rank[order] = np.arange(len(words))
             words, counts, shard = words[order], counts[order], shard[order]
             cut = np.searchsorted(shard, np.arange(shards + 1))
-            rows = [(number, -1, len(words), None, None, ids.tobytes(), known.tobytes(), out.tobytes(), len(ids), per.astype(np.int64).tobytes(), len(tokens), _zip(rank[local]))]
+            rows = [(number, -1, len(words), None, None, ids.tobytes(), known.tobytes(), out.tobytes(), len(ids), per.astype(np.int64).tobytes(), len(tokens), packed(rank[local]))]
             for k in range(shards):
                 a, z = cut[k], cut[k + 1]
                 if z > a:
-                    rows.append((number, k, int(z - a), words[a:z].tobytes(), _zip(counts[a:z]), *[None] * 7))
+                    rows.append((number, k, int(z - a), words[a:z].tobytes(), packed(counts[a:z]), *[None] * 7))
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PARTS, strict=True)], schema=_PARTS)
 
         for b in batches:
@@ -121,7 +120,7 @@ def _counted(t: pa.Table) -> pa.Table:
     """A shard's words: their counts over all blocks, and ids; sums in a row of block -1."""
     n = t.column("n").to_numpy()
     words = np.frombuffer(b"".join(t.column("words").to_pylist()), U64)
-    counts = np.concatenate([_unzip(c, k, np.int32) for c, k in zip(t.column("counts").to_pylist(), n, strict=True)])
+    counts = np.concatenate([unpacked(c, k, np.int32) for c, k in zip(t.column("counts").to_pylist(), n, strict=True)])
     distinct, at = np.unique(words, return_inverse=True)
     total = np.bincount(at, counts, len(distinct)).astype(np.int64)
     rank = np.where(total > 0, np.cumsum(total > 0) - 1, -1)
@@ -133,8 +132,8 @@ def _counted(t: pa.Table) -> pa.Table:
         "shard": pa.array([*shard, shard[0]], pa.int32()),
         "n": pa.array([*n.tolist(), int((total > 0).sum())], pa.int64()),
         "total": pa.array([*[0] * len(n), int(total.sum())], pa.int64()),
-        "ranks": pa.array([*[_zip(rank[at[a:z]]) for a, z in pairs], None], pa.binary()),
-        "counts": pa.array([*[_zip(total[at[a:z]]) for a, z in pairs], None], pa.binary()),
+        "ranks": pa.array([*[packed(rank[at[a:z]]) for a, z in pairs], None], pa.binary()),
+        "counts": pa.array([*[packed(total[at[a:z]]) for a, z in pairs], None], pa.binary()),
     })
 
 
@@ -143,9 +142,9 @@ class Block:
 
     def __init__(self, r: dict, shards: int):
         parts = sorted(r["words"], key=lambda p: p["shard"])
-        local = _unzip(r["tokens"], r["n_tokens"], np.int32)
-        rank = np.concatenate([_unzip(p["ranks"], p["n"], np.int64) for p in parts])
-        count = np.concatenate([_unzip(p["counts"], p["n"], np.int64) for p in parts])
+        local = unpacked(r["tokens"], r["n_tokens"], np.int32)
+        rank = np.concatenate([unpacked(p["ranks"], p["n"], np.int64) for p in parts])
+        count = np.concatenate([unpacked(p["counts"], p["n"], np.int64) for p in parts])
         if len(rank) != r["n"]:
             raise ValueError("a shard's answer is missing")
         ids = np.where(rank < 0, -1, rank * shards + np.repeat([p["shard"] for p in parts], [p["n"] for p in parts]))
@@ -190,7 +189,7 @@ def _asked(shards: int, n: int):
                     first = np.flatnonzero(np.concatenate([[True], u[a:z][1:] != u[a:z][:-1]]))
                     own = u[a:z][first]
                     runs = np.diff(np.concatenate([first, [z - a]])).astype(np.int32)
-                    rows.append((r["block"], k, int(z - a), len(own), _zip(np.diff(own, prepend=0)), _zip(runs), _zip(c[a:z][first]), _zip(w[a:z]), _zip(train[a:z])))
+                    rows.append((r["block"], k, int(z - a), len(own), packed(np.diff(own, prepend=0)), packed(runs), packed(c[a:z][first]), packed(w[a:z]), packed(train[a:z])))
                 cols = list(zip(*rows, strict=True)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=names)
 
@@ -204,9 +203,9 @@ def _answered(s: Settings, keep_model: bool):
         rows = t.to_pylist()
         lists = []
         for r in rows:
-            own = np.cumsum(_unzip(r["contexts"], r["n_contexts"], np.int64))
-            runs = _unzip(r["runs"], r["n_contexts"], np.int32)
-            lists.append((own, runs, _unzip(r["totals"], r["n_contexts"], np.int64), _unzip(r["words"], r["n"], np.int64), _unzip(r["train"], r["n"], np.int32)))
+            own = np.cumsum(unpacked(r["contexts"], r["n_contexts"], np.int64))
+            runs = unpacked(r["runs"], r["n_contexts"], np.int32)
+            lists.append((own, runs, unpacked(r["totals"], r["n_contexts"], np.int64), unpacked(r["words"], r["n"], np.int64), unpacked(r["train"], r["n"], np.int32)))
         u = np.concatenate([np.repeat(x[0], x[1]) for x in lists])
         c = np.concatenate([np.repeat(x[2], x[1]) for x in lists])
         w, train = np.concatenate([x[3] for x in lists]), np.concatenate([x[4] for x in lists])
@@ -224,8 +223,8 @@ def _answered(s: Settings, keep_model: bool):
         codes, spread = [], []
         for own, runs, _, words, _ in lists:
             rank, lo, hi = trie.ranges(own)
-            codes.append(_zip(trie.lookup(np.repeat(rank, runs), np.repeat(lo, runs), np.repeat(hi, runs), words)))
-            spread.append(_zip((hi - lo).astype(np.int32)))
+            codes.append(packed(trie.lookup(np.repeat(rank, runs), np.repeat(lo, runs), np.repeat(hi, runs), words)))
+            spread.append(packed((hi - lo).astype(np.int32)))
         more = [blob] if keep_model else []
         pad = [None] * len(more)
         return pa.table({
@@ -253,8 +252,8 @@ def _scored(s: Settings, shards: int, n: int, v: int):
                 u, _, _, shard, _, which = x.pairs(shards, n)
                 if len(u):
                     parts = sorted(r["pairs"] or [], key=lambda q: q["shard"])
-                    code = np.concatenate([_unzip(q["codes"], q["n"], np.uint8) for q in parts])
-                    spread = np.concatenate([_unzip(q["spread"], q["n_contexts"], np.int32) for q in parts])
+                    code = np.concatenate([unpacked(q["codes"], q["n"], np.uint8) for q in parts])
+                    spread = np.concatenate([unpacked(q["spread"], q["n_contexts"], np.int32) for q in parts])
                     if len(code) != len(u):
                         raise ValueError("a shard's answer is missing")
                     # runs of one context in one shard, in the order in which they were asked
@@ -296,11 +295,12 @@ def _score(docs: DataFrame, held_out: Column, s: Settings, text: str, doc_id: st
     small_batches(spark)
     shards = 2 * shuffle_parts(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).cast("string").alias("__text"))
-    all_rows, _ = table(spark, _blocks(rows, s, shards))
+    lists, lists_path, texts, _ = two_tables(spark, _blocks(rows, s, shards), F.col("shard") >= 0)
     release(spark)
-    texts = all_rows.where("shard = -1").select("block", "n", "ids", "known", "held", "n_docs", "per_doc", "n_tokens", "tokens")
-    words = all_rows.where("shard >= 0").select("block", "shard", "n", "words", "counts").groupBy("shard")
+    texts = texts.select("block", "n", "ids", "known", "held", "n_docs", "per_doc", "n_tokens", "tokens")
+    words = lists.select("block", "shard", "n", "words", "counts").groupBy("shard")
     words, _ = table(spark, words.applyInArrow(_counted, "block long, shard int, n long, total long, ranks binary, counts binary"))
+    drop_table(spark, lists_path)
     release(spark)
     r = words.where("block = -1").agg(F.sum("n").alias("v"), F.sum("total").alias("n")).first()
     n, v = r["n"] or 0, r["v"] or 0

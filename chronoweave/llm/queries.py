@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lm, mixing, neardup, quality, suffixdedup, topk, toxicity
+from . import bpe, chat, langid, lm, mixing, mixing_sql, neardup, quality, suffixdedup, topk, toxicity
 from .common import fold, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -103,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_top_k": OP7_SQL, "op3_chat": OP3_SQL}
+    return {"op1_mixing": mixing_sql.oracle(), "op3_chat": OP3_SQL, "op7_top_k": OP7_SQL}

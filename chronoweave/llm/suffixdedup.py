@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import release, shuffle_parts, small_batches, table
+from .common import packed, release, shuffle_parts, small_batches, table, unpacked
 from .suffixarray import suffix_array
 
 U64 = np.uint64
@@ -97,15 +97,6 @@ def _reach(p: np.ndarray, off: np.ndarray, doc: np.ndarray, s: Settings) -> tupl
     return np.maximum(p - s.before, off[d]), np.minimum(p + s.length, off[d + 1])
 
 
-def _zip(x: np.ndarray) -> bytes:
-    return pa.Codec("zstd").compress(x.tobytes(), asbytes=True) if x.nbytes else b""
-
-
-def _unzip(b: bytes, n: int, kind: type) -> np.ndarray:
-    size = n * np.dtype(kind).itemsize
-    return np.frombuffer(pa.Codec("zstd").decompress(b, size, asbytes=True), kind) if n else np.zeros(0, kind)
-
-
 BLOCKS = "block long, shard int, n int, h binary, x binary, ids binary, known binary, off binary, n_docs int, n_bytes long, data binary, pos binary"
 
 
@@ -125,7 +116,7 @@ def _blocks(docs: DataFrame, s: Settings, shards: int) -> DataFrame:
                 order = np.lexsort((h, shard))
                 p, h, x, shard = p[order], h[order], x[order], shard[order]
                 cut = np.searchsorted(shard, np.arange(shards + 1))
-                rows = [(number, -1, len(p), None, None, ids[i:j].tobytes(), known[i:j].tobytes(), o.tobytes(), j - i, len(d), _zip(d), _zip(p))]
+                rows = [(number, -1, len(p), None, None, ids[i:j].tobytes(), known[i:j].tobytes(), o.tobytes(), j - i, len(d), packed(d), packed(p))]
                 for k in range(shards):
                     a, z = cut[k], cut[k + 1]
                     if z > a:
@@ -159,13 +150,13 @@ def _folded(t: pa.Table) -> pa.Table:
     out = np.empty(len(h), np.uint8)
     out[order] = code
     cut = np.concatenate([[0], np.cumsum(n)])
-    each = [_zip(out[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
+    each = [packed(out[a:z]) for a, z in zip(cut[:-1], cut[1:], strict=True)]
     return pa.table({"block": t.column("block"), "shard": t.column("shard"), "n": t.column("n"), "codes": pa.array(each, pa.binary())})
 
 
 def _codes(parts: list[dict], n: int) -> np.ndarray:
     """A block's codes in the order of its anchors, from those of its shards."""
-    out = [_unzip(p["codes"], p["n"], np.uint8) for p in sorted(parts, key=lambda p: p["shard"])]
+    out = [unpacked(p["codes"], p["n"], np.uint8) for p in sorted(parts, key=lambda p: p["shard"])]
     got = np.concatenate(out) if out else np.zeros(0, np.uint8)
     if len(got) != n:
         raise ValueError("a shard's answer is missing")
@@ -183,8 +174,8 @@ def _contexts(s: Settings, shards: int):
                 at = np.flatnonzero(codes >= SOUGHT)
                 if not len(at):
                     continue
-                data, off = _unzip(r["data"], r["n_bytes"], np.uint8), np.frombuffer(r["off"], np.int64)
-                p = _unzip(r["pos"], r["n"], np.int64)[at]
+                data, off = unpacked(r["data"], r["n_bytes"], np.uint8), np.frombuffer(r["off"], np.int64)
+                p = unpacked(r["pos"], r["n"], np.int64)[at]
                 doc = textnp.owners(off)
                 lo, hi = _reach(p, off, doc, s)
                 c = textnp.prefix_sums(data, textnp.tables()[1])
@@ -198,7 +189,7 @@ def _contexts(s: Settings, shards: int):
                 for k in np.unique(shard):
                     m = shard == k
                     lens = np.stack([p[m] - lo[m], hi[m] - p[m]], 1).astype(np.uint16)
-                    rows.append((r["block"], int(k), int(m.sum()), h[m].tobytes(), idx[m].tobytes(), lens.tobytes(), _zip(text[m])))
+                    rows.append((r["block"], int(k), int(m.sum()), h[m].tobytes(), idx[m].tobytes(), lens.tobytes(), packed(text[m])))
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["block", "shard", "n", "h", "idx", "lens", "texts"])
 
@@ -266,7 +257,7 @@ def _compared(s: Settings):
         h = np.frombuffer(b"".join(t.column("h").to_pylist()), U64)
         idx = np.frombuffer(b"".join(t.column("idx").to_pylist()), np.int32)
         lens = np.frombuffer(b"".join(t.column("lens").to_pylist()), np.uint16).reshape(-1, 2).astype(np.int64)
-        text = np.concatenate([_unzip(b, k * width, np.uint8) for b, k in zip(t.column("texts").to_pylist(), n, strict=True)]).reshape(-1, width)
+        text = np.concatenate([unpacked(b, k * width, np.uint8) for b, k in zip(t.column("texts").to_pylist(), n, strict=True)]).reshape(-1, width)
         block = np.repeat(t.column("block").to_numpy(), n)
         order = np.argsort(h, kind="stable")
         edge = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1], [True]]))
@@ -293,10 +284,10 @@ def _compared(s: Settings):
 
 def _removed(r: dict, s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, which bytes go) of a block."""
-    data, off = _unzip(r["data"], r["n_bytes"], np.uint8), np.frombuffer(r["off"], np.int64)
+    data, off = unpacked(r["data"], r["n_bytes"], np.uint8), np.frombuffer(r["off"], np.int64)
     n = len(data)
     codes = _codes(r["parts"] or [], r["n"])
-    p = _unzip(r["pos"], r["n"], np.int64)
+    p = unpacked(r["pos"], r["n"], np.int64)
     doc = textnp.owners(off)
     step = np.zeros(n + 1, np.int64)
     full = p[(codes == REPEATED) | (codes == REPEATED_AND_FETCHED)]
