@@ -15,16 +15,19 @@ from pyspark.sql import functions as F
 #: some MB, so a batch stays within tens of MB.
 TEXT_BATCH_ROWS = 512
 
+#: The batch size that each session had before it was first set here.
+_own_batch: dict[int, int] = {}
+
 #: ASCII white space that separates words: space and 0x09-0x0D.
 WS_CLASS = r"[\x20\x09-\x0D]"
 WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 
 def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to ``rows`` (never raises it)."""
+    """Set the session's Arrow batch size to ``rows``, or to the user's own where that is smaller."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
+    own = _own_batch.setdefault(id(spark), int(spark.conf.get(key)))
+    spark.conf.set(key, str(rows if own <= 0 else min(own, rows)))
 
 
 def shared_dir(spark: SparkSession) -> str:
