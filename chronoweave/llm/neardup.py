@@ -208,7 +208,8 @@ def _clusters(grouped: DataFrame, s: Settings) -> DataFrame:
                 forest = Forest()
                 for i in range(len(ca)):
                     hit = np.flatnonzero(((sb == sa[i]).sum(1) >= least) & (gb != ga[i]))
-                    out += [(int(ca[i]), int(cb[h])) for h in hit if forest.join(int(ga[i]), int(gb[h]))]
+                    there, one = np.unique(gb[hit], return_index=True)
+                    out += [(int(ca[i]), int(cb[hit[h]])) for g, h in zip(there.tolist(), one, strict=True) if forest.join(int(ga[i]), g)]
             yield _pairs(out)
 
     return work.mapInArrow(run, "a long, b long").distinct()
@@ -298,18 +299,26 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, per_task: int = 500_000) -> DataFrame:
     """(node, component): the least node that each node of the links (a, b) reaches.
 
-    Alternating stars: each node hooks its larger neighbours, then its smaller
-    ones, onto the least; every round is written to the shared folder, and the
-    rounds end when no link changes. The least ones are written before they are
-    joined, so that both sides of the join are dealt out anew and the partition
-    of a node with many links can be split.
+    Union-find contracts up to ``per_task`` links in each task; where that took
+    one task it is done. Else the forests' links go on by alternating stars: each
+    node hooks its larger neighbours, then its smaller ones, onto the least; every
+    round is written to the shared folder, and the rounds end when no link
+    changes. The least ones are written before they are joined, so that both sides
+    of the join are dealt out anew and the partition of a node with many links can
+    be split.
     """
     spark = edges.sparkSession
-    e = _contract(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    e, path = table(spark, e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    small_batches(spark, 10_000)
+    e, path = table(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"))
+    tasks = max(1, -(-e.count() // per_task))
+    e, fresh = table(spark, _contract(e.coalesce(tasks)))
+    drop_table(spark, path)
+    if tasks == 1:
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    path = fresh
 
     def checksum(x: DataFrame) -> tuple:
         r = x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -326,7 +335,7 @@ def components(edges: DataFrame) -> DataFrame:
         least, gone3 = table(spark, down.groupBy("u").agg(F.min("v").alias("m")))
         hooked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = hooked.union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        new, fresh = table(spark, _contract(new).where("u <> v").distinct())
+        new, fresh = table(spark, _contract(new))
         for old in (path, gone1, gone2, gone3):
             drop_table(spark, old)
         e, path = new, fresh
@@ -372,6 +381,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
     for path in (keyed_path, shared_path, grouped_path, sets_path):
         drop_table(spark, path)
     release(spark)
+    small_batches(spark)
 
     of = classes.select(F.col("set_hash").alias("__h"), F.col("n_shingles").alias("__n"), "cls")
     mine = (F.col("set_hash") == F.col("__h")) & (F.col("n_shingles") == F.col("__n")) & F.col("doc").isNotNull()
