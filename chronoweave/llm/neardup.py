@@ -178,10 +178,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return table(pairs.sparkSession, good.select("a", "b"))[0]
 
 
-def _clusters(grouped: DataFrame, s: Settings) -> DataFrame:
+def _clusters(grouped: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
     """Links (a, b) that join what may be linked: classes of one key in different groups whose signatures agree enough.
 
-    ``grouped``: key, cls, group, sig. A key's classes are cut into blocks of
+    ``grouped``: key, cls, group; ``signed``: cls, sig, fetched for such keys only. A key's classes are cut into blocks of
     about ``s.block``; each pair of blocks is one row of work, and of the
     agreeing pairs only a spanning forest comes out.
     """
@@ -189,7 +189,7 @@ def _clusters(grouped: DataFrame, s: Settings) -> DataFrame:
     small_batches(spark, 16)
     found = grouped.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
     keys, _ = table(spark, found.where("lo <> hi").select("key", F.ceil(F.col("n") / s.block).alias("blocks")))
-    placed = grouped.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    placed = grouped.join(keys, "key").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).join(signed, "cls")
     blocks = placed.groupBy("key", "block").agg(F.collect_list(F.struct("cls", "group", "sig")).alias("members"))
     left = blocks.select("key", F.col("block").alias("i"), F.col("members").alias("x"))
     right = blocks.select("key", F.col("block").alias("j"), F.col("members").alias("y"))
@@ -353,7 +353,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
     # a class: documents of one and the same set, named by its least id
     classes, _ = table(spark, full.groupBy("set_hash", "n_shingles").agg(F.min("doc").alias("cls")))
     reps = full.join(classes.select(F.col("cls").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
-    keyed, keyed_path = table(spark, reps.select(F.col("doc").alias("cls"), "sig", F.explode("keys").alias("key")))
+    keyed, keyed_path = table(spark, reps.select(F.col("doc").alias("cls"), F.explode("keys").alias("key")))
     shared = keyed.groupBy("key").agg(F.min("cls").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     shared, shared_path = table(spark, shared)
     near = keyed.join(shared, "key").groupBy("cls").agg(F.min("least").alias("a")).where("a < cls").select("a", F.col("cls").alias("b"))
@@ -368,8 +368,8 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text
     release(spark)
 
     grouped = keyed.join(shared, "key", "left_semi").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-    grouped, grouped_path = table(spark, grouped.select("key", "cls", "sig", F.coalesce("component", "cls").alias("group")))
-    maybe, _ = table(spark, _clusters(grouped, s))
+    grouped, grouped_path = table(spark, grouped.select("key", "cls", F.coalesce("component", "cls").alias("group")))
+    maybe, _ = table(spark, _clusters(grouped, reps.select(F.col("doc").alias("cls"), "sig"), s))
     small_batches(spark)
     if not maybe.isEmpty():
         # a cluster: all that verified and possible links join; a class without any is its own
