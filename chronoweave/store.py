@@ -42,7 +42,7 @@ class Store:
     """Builds under ``builds/<id>/build.json``, feature tables under ``cache/``."""
 
     def __init__(self, path: str | Path = ".chronoweave"):
-        self.path = Path(path)
+        self.path = Path(path).resolve()
         for d in ("builds", "cache"):
             (self.path / d).mkdir(parents=True, exist_ok=True)
 
