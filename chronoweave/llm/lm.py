@@ -13,8 +13,10 @@ shards by hash, where counts of the training documents meet and words get ids;
 its distinct pairs go to shards by context, and there meet the trie that the
 shard builds of all counts, memory-mapped from its compact form; the answers
 return packed, in the order of the block's pairs. Contexts with more than a
-quarter of a shard's share of all tokens are dealt by the pair instead. Nothing
-that grows with the corpus is broadcast or collected.
+quarter of a shard's share of all tokens are dealt by the pair instead; their
+numbers of successors are summed over all shards, whichever of them a block
+asked, and collected: fewer than four contexts a shard, whatever the corpus.
+Nothing that grows with the corpus is broadcast or collected.
 
 Defined results: a null or empty text is one end token; repeated rows count and
 score each; without training documents every score is that of unknown tokens.
@@ -137,6 +139,11 @@ def _counted(t: pa.Table) -> pa.Table:
     })
 
 
+def _hot(count: np.ndarray, shards: int, n: int) -> np.ndarray:
+    """Which contexts are so frequent among ``n`` tokens that their pairs are dealt over the shards."""
+    return count * (4 * shards) > n
+
+
 class Block:
     """A block once its words are known: global ids and counts of its tokens."""
 
@@ -159,7 +166,7 @@ class Block:
     def pairs(self, shards: int, n: int) -> tuple[np.ndarray, ...]:
         """Distinct (context, word) pairs by shard, context and word; which one each of ``at`` is; the shards."""
         u, w, c = self.ids[self.at - 1], self.ids[self.at], self.count[self.at - 1]
-        hot = c * (4 * shards) > n
+        hot = _hot(c, shards, n)
         shard = np.where(hot, textnp.mix(u.astype(U64) * U64(0x9E3779B97F4A7C15) + w.astype(U64)) % U64(shards), textnp.mix(u.astype(U64)) % U64(shards)).astype(np.int64)
         order = np.lexsort((w, u, shard))
         u, w, c, shard = u[order], w[order], c[order], shard[order]
@@ -196,8 +203,11 @@ def _asked(shards: int, n: int):
     return run
 
 
-def _answered(s: Settings, keep_model: bool):
-    """A shard's pairs of all blocks -> its trie, and each block's codes and numbers of successors."""
+def _answered(s: Settings, keep_model: bool, shards: int, n: int):
+    """A shard's pairs of all blocks -> its trie (block -1), and each block's codes and numbers of successors.
+
+    The shard's part of the hot contexts' successors is a row of block -2.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
@@ -217,6 +227,10 @@ def _answered(s: Settings, keep_model: bool):
         new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
         total = np.bincount(np.cumsum(new) - 1, train) if len(u) else np.zeros(0)
         u, w, c = u[new], w[new], c[new]
+        first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
+        parts = np.diff(np.concatenate([first, [len(u)]]))
+        hot = _hot(c[first], shards, n)
+        hot_contexts, hot_parts = u[first][hot], parts[hot]
         blob = Trie.build(u, w, quantise((total - s.discount) / np.maximum(c, 1))).to_bytes()
         del u, w, c, train, order, new, total
         trie = Trie.mapped(blob)
@@ -225,21 +239,32 @@ def _answered(s: Settings, keep_model: bool):
             rank, lo, hi = trie.ranges(own)
             codes.append(packed(trie.lookup(np.repeat(rank, runs), np.repeat(lo, runs), np.repeat(hi, runs), words)))
             spread.append(packed((hi - lo).astype(np.int32)))
-        more = [blob] if keep_model else []
-        pad = [None] * len(more)
+        more = [(-1, 0, blob, None)] if keep_model else []
+        if len(hot_contexts):
+            more.append((-2, len(hot_contexts), packed(hot_contexts), packed(hot_parts)))
         return pa.table({
-            "block": pa.array([r["block"] for r in rows] + [-1] * len(more), pa.int64()),
+            "block": pa.array([r["block"] for r in rows] + [x[0] for x in more], pa.int64()),
             "shard": pa.array([r["shard"] for r in rows] + [rows[0]["shard"]] * len(more), pa.int32()),
             "n": pa.array([r["n"] for r in rows] + [0] * len(more), pa.int32()),
-            "n_contexts": pa.array([r["n_contexts"] for r in rows] + [0] * len(more), pa.int32()),
-            "codes": pa.array(codes + more, pa.binary()),
-            "spread": pa.array(spread + pad, pa.binary()),
+            "n_contexts": pa.array([r["n_contexts"] for r in rows] + [x[1] for x in more], pa.int32()),
+            "codes": pa.array(codes + [x[2] for x in more], pa.binary()),
+            "spread": pa.array(spread + [x[3] for x in more], pa.binary()),
         })
 
     return run
 
 
-def _scored(s: Settings, shards: int, n: int, v: int):
+def _hot_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hot contexts that shards answered, with their numbers of successors there."""
+    for b in batches:
+        for r in b.to_pylist():
+            cols = [pa.array(unpacked(r[c], r["n_contexts"], np.int64)) for c in ("codes", "spread")]
+            yield pa.RecordBatch.from_arrays(cols, names=["context", "successors"])
+
+
+def _scored(s: Settings, shards: int, n: int, v: int, hot: np.ndarray, hot_wide: np.ndarray):
+    """Scores; ``hot`` contexts, sorted, and their numbers of successors over all shards."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         unknown = s.discount * v / n if n else 1.0
@@ -249,7 +274,7 @@ def _scored(s: Settings, shards: int, n: int, v: int):
                 base = np.log10((x.count + 1) / (n + v + 1))
                 low = np.where(x.count > 0, (x.count - s.discount) / max(n, 1), unknown)
                 p = low.copy()
-                u, _, _, shard, _, which = x.pairs(shards, n)
+                u, _, c, shard, _, which = x.pairs(shards, n)
                 if len(u):
                     parts = sorted(r["pairs"] or [], key=lambda q: q["shard"])
                     code = np.concatenate([unpacked(q["codes"], q["n"], np.uint8) for q in parts])
@@ -259,13 +284,16 @@ def _scored(s: Settings, shards: int, n: int, v: int):
                     # runs of one context in one shard, in the order in which they were asked
                     fresh = np.ones(len(u), bool)
                     fresh[1:] = (u[1:] != u[:-1]) | (shard[1:] != shard[:-1])
-                    # a context dealt over several shards has its successors summed
-                    own, back = np.unique(u[fresh], return_inverse=True)
-                    _, asked_in = np.unique(u, return_inverse=True)
-                    del own
-                    wide = np.bincount(back, spread)
+                    wide = spread[np.cumsum(fresh) - 1].astype(np.int64)
+                    # of a context dealt over the shards each answers for its part alone
+                    dealt = _hot(c, shards, n)
+                    i = np.searchsorted(hot, u[dealt])
+                    there = i < len(hot)
+                    there[there] = hot[i[there]] == u[dealt][there]
+                    wide[dealt] = 0
+                    wide[np.flatnonzero(dealt)[there]] = hot_wide[i[there]]
                     context_count = x.count[x.at - 1]
-                    share = s.discount * wide[asked_in[which]] / np.maximum(context_count, 1)
+                    share = s.discount * wide[which] / np.maximum(context_count, 1)
                     p[x.at] = dequantise(code[which]) + np.minimum(share, 1.0) * low[x.at]
                 sums = [np.add.reduceat(a, x.before[:-1]) for a in (base, np.log10(p), (x.count > 0).astype(np.int64))]
                 ids = np.frombuffer(r["ids"], np.int64)
@@ -308,9 +336,12 @@ def _score(docs: DataFrame, held_out: Column, s: Settings, text: str, doc_id: st
     known = texts.join(by_block, "block")
     schema = "block long, shard int, n int, n_contexts int, contexts binary, runs binary, totals binary, words binary, train binary"
     asked = known.mapInArrow(_asked(shards, n), schema).groupBy("shard")
-    answers, _ = table(spark, asked.applyInArrow(_answered(s, keep_model), "block long, shard int, n int, n_contexts int, codes binary, spread binary"))
+    answers, _ = table(spark, asked.applyInArrow(_answered(s, keep_model, shards, n), "block long, shard int, n int, n_contexts int, codes binary, spread binary"))
     release(spark)
+    sums = answers.where("block = -2").select("n_contexts", "codes", "spread").mapInArrow(_hot_parts, "context long, successors long")
+    hot = sorted(tuple(r) for r in sums.groupBy("context").agg(F.sum("successors")).collect())  # fewer than 4 * shards
+    hot, hot_wide = np.array(hot, np.int64).reshape(-1, 2).T
     back = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "n", "n_contexts", "codes", "spread")).alias("pairs"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = known.join(back, "block", "left").mapInArrow(_scored(s, shards, n, v), schema)
+    scored = known.join(back, "block", "left").mapInArrow(_scored(s, shards, n, v, hot, hot_wide), schema)
     return scored, answers.where("block = -1").select("shard", F.col("codes").alias("trie")) if keep_model else None

@@ -166,6 +166,46 @@ def test_lm(spark, docs, texts, empty):
     assert lm.train_and_score(docs, F.lit(False))[1].count() > 0
 
 
+def _lm_brute(tokens, held):
+    """Unquantised scores, the discounted mass of every known context going to the unigram level."""
+    c, b = Counter(), Counter()
+    for i, w in tokens.items():
+        if not held(i):
+            c.update(w)
+            b.update(zip(w, w[1:], strict=False))
+    n, v, wide = sum(c.values()), len(c), Counter(u for u, _ in b)
+    out = {}
+    for i, w in tokens.items():
+        out[i] = 0.0
+        for k, x in enumerate(w):
+            p = (c[x] - 0.75) / n if c[x] else 0.75 * v / n
+            if k and c[w[k - 1]]:
+                u = w[k - 1]
+                p = max(0, b[u, x] - 0.75) / c[u] + min(1, 0.75 * wide[u] / c[u]) * p
+            out[i] += math.log10(p)
+    return out
+
+
+def test_lm_hot_context_over_many_shards(spark):
+    """A block that asks few shards for a hot context still backs off by all its successors."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"the w{rng.randrange(400)}" for _ in range(30))) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        one = lm.score(table.coalesce(1), F.lit(False)).toPandas().set_index("doc_id").score
+        many = lm.score(table.repartition(20), F.lit(False)).toPandas().set_index("doc_id").score
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    want = _lm_brute({i: [*t.split(), None] for i, t in rows}, lambda i: False)
+    for i, t in rows:
+        assert one[i] == pytest.approx(many[i], abs=1e-9)
+        assert want[i] - 0.04 * 61 <= many[i] <= want[i] + 1e-9
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(4)
     clean = ["sun", "tree", "house", "walk", "river", "stone", "cloud"]
