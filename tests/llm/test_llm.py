@@ -355,6 +355,21 @@ def test_quality(docs, texts, empty):
     assert quality.judge(empty, empty).count() == 0
 
 
+def test_quality_rejects_junk_that_passes_the_base_rules(spark):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(30)]
+    good = [[rng.choice(vocab) for _ in range(150)] for _ in range(300)]
+    junk = [[w + rng.choice("#*%&") * 3 if rng.random() < 0.25 else w for w in rng.choices(vocab, k=150)] for _ in range(30)]
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(good + junk)], "doc_id long, text string")
+    got = quality.judge(table, table.where("doc_id < 200"), quality.Rules(buckets=1024)).toPandas().set_index("doc_id").sort_index()
+    assert not got.base_failed.any()
+    assert (got.score[300:] > -0.35).all()
+    assert not got.kept[300:].any()
+    assert got.kept[:300].all()
+    few = quality.judge(table, table.where("doc_id = 0")).toPandas()
+    assert few.kept.all()
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
