@@ -5,7 +5,7 @@ lower-cased) and an end token. The unigram level gives the discounted share of
 a word, and to all unknown words together what was discounted. The bigram level
 interpolates: a stored pair has (c - D) / c(context), quantised downwards to one
 byte, and what the context's pairs were discounted, D times their number over
-c(context), goes to the unigram level. The number of pairs is the distance of
+c(context), goes to the unigram level, to its unknown words too. The number of pairs is the distance of
 two of the trie's monotone pointers.
 
 Blocks of documents travel as rows. A block's distinct words go, packed, to
@@ -41,6 +41,8 @@ U64 = np.uint64
 END = U64(0x454E44)  # stands for the end token among word hashes
 #: Steps of the quantised log10 probabilities: a byte spans nine decades.
 STEP = 9.0 / 254
+#: Stands for all unknown words in the pairs that a block asks; ids are below it.
+UNKNOWN = 1 << 40
 
 
 @dataclass(frozen=True)
@@ -160,12 +162,13 @@ class Block:
         self.doc = textnp.owners(self.before)
         self.ids, self.count = ids[local], count[local]
         self.out = np.frombuffer(r["held"], bool)
-        # the tokens with a predecessor in the same text, both known
-        self.at = np.flatnonzero((self.doc[1:] == self.doc[:-1]) & (self.ids[1:] >= 0) & (self.ids[:-1] >= 0)) + 1
+        # the tokens with a known predecessor in the same text
+        self.at = np.flatnonzero((self.doc[1:] == self.doc[:-1]) & (self.ids[:-1] >= 0)) + 1
 
     def pairs(self, shards: int, n: int) -> tuple[np.ndarray, ...]:
         """Distinct (context, word) pairs by shard, context and word; which one each of ``at`` is; the shards."""
         u, w, c = self.ids[self.at - 1], self.ids[self.at], self.count[self.at - 1]
+        w = np.where(w < 0, UNKNOWN, w)
         hot = _hot(c, shards, n)
         shard = np.where(hot, textnp.mix(u.astype(U64) * U64(0x9E3779B97F4A7C15) + w.astype(U64)) % U64(shards), textnp.mix(u.astype(U64)) % U64(shards)).astype(np.int64)
         order = np.lexsort((w, u, shard))

@@ -206,6 +206,27 @@ def test_lm_hot_context_over_many_shards(spark):
         assert want[i] - 0.04 * 61 <= many[i] <= want[i] + 1e-9
 
 
+def test_lm_context_sums_to_one_at_most(spark):
+    """After every context, all known words and the unknown ones share a mass of at most 1."""
+    from pyspark.sql import functions as F
+
+    words = ["a", "b", "c", "d"]
+    train = ["a b", "a c", "a b a d", "b c d", "c a", "d d b", "a a"]
+    rows = [*enumerate(train), *((100 + i, w) for i, w in enumerate([*words, *(f"{u} {x}" for u in words for x in [*words, "zzz"])]))]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = lm.score(table, F.col("doc_id") >= 100).toPandas().set_index("doc_id").score
+    want = _lm_brute({i: [*t.split(), None] for i, t in rows}, lambda i: i >= 100)
+    for i, t in rows:
+        assert want[i] - 0.04 * (len(t.split()) + 1) <= got[i] <= want[i] + 1e-9
+    c = Counter(x for t in train for x in [*t.split(), None])
+    plain = {x: math.log10((c[x] - 0.75) / sum(c.values())) for x in c}
+    score = {t: got[i] for i, t in rows if i >= 100}
+    end = {u: score[u] - plain[u] for u in words} | {"zzz": plain[None]}
+    for u in words:
+        after = [10 ** (score[f"{u} {x}"] - plain[u] - end[x]) for x in end]
+        assert 10 ** end[u] + sum(after) <= 1 + 1e-9
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(4)
     clean = ["sun", "tree", "house", "walk", "river", "stone", "cloud"]
