@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +34,17 @@ def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where none is set (as in
-    local tests) a temporary folder is made and set.
+    It is the session's ``spark.checkpoint.dir``; only where none is set and all
+    tasks run in the driver's process (as in local tests) a temporary folder is
+    made and set.
     """
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
         return found.get()
     given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
     sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="chronoweave-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -74,6 +78,21 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def q(name: str) -> Column:
+    """A column by its literal name, dots included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def carried(keep: Sequence[str], own: Sequence[str]) -> tuple[list[Column], list[str], list[Column]]:
+    """Columns to take through a Python stage beside its ``own`` results: (them under inner names, these names, them renamed back).
+
+    One that is named like a result comes back as ``kept_`` and its name.
+    """
+    inner = [f"__k{i}" for i in range(len(keep))]
+    into = [q(c).alias(i) for c, i in zip(keep, inner, strict=True)]
+    return into, inner, [F.col(i).alias(f"kept_{c}" if c in own else c) for c, i in zip(keep, inner, strict=True)]
+
+
 def fold(doc_id: Column, mod: int) -> Column:
     """crc32 of the id as text, modulo ``mod``; a null id counts as the text ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % mod

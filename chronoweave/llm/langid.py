@@ -3,16 +3,23 @@
 A text's vector is the mean embedding of its byte 2- to 4-grams (A-Z
 lower-cased), hashed into ``buckets``; a linear softmax reads the language from
 it. Both are trained together by stochastic gradient descent in numpy, on a
-bounded sample of labelled documents. On a part of the sample kept out of
-training the softmax is calibrated by a temperature, and the score below which
-a prediction is to be rejected is set.
+bounded sample of labelled documents. On every fifth sampled document of each
+language, kept out of training, the softmax is calibrated by a temperature, and
+the score below which a prediction is to be rejected is set.
+
+Every language that occurs is learned. The sample has ``sample_docs`` documents
+in all, shared by the languages, but ``least_docs`` of each at least: it and the
+model, one row of ``buckets`` numbers a language, grow with nothing else.
 
 As mean and softmax input are linear, a prediction needs only the product of
 embeddings and output weights: one row of numbers a bucket.
 
 Defined results: ``und`` with score 0 for a null text or one without any
 letter, and for every text where no label can be learned from; ties go to the
-first language by code point.
+first language by code point; repeated rows are predicted alike; with fewer than
+five documents of every language nothing is kept out, the temperature is 1 and
+nothing is rejected; a ``keep`` column named like a result comes out as
+``kept_`` and its name.
 """
 
 from __future__ import annotations
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import small_batches
+from .common import carried, small_batches
 
 UNDETERMINED = "und"
 
@@ -36,9 +43,11 @@ class Settings:
     buckets: int = 8192
     dims: int = 16
     orders: tuple[int, ...] = (2, 3, 4)
-    #: Bound of the sample: so many labelled documents a language, by a seeded hash.
+    #: Bound of the sample: so many labelled documents in all, by a seeded hash,
+    #: shared by the languages, of which each has so many at least and at most.
+    sample_docs: int = 6000
+    least_docs: int = 12
     docs_per_language: int = 1200
-    languages: int = 200
     epochs: int = 10
     #: Steps at least, by more epochs where the sample is small.
     steps: int = 1000
@@ -94,15 +103,14 @@ def _batches(column: pa.Array, s: Settings) -> Iterator[tuple[int, int, np.ndarr
 def _sample(labelled: DataFrame, s: Settings, text: str, lang: str, key: str) -> tuple[list[str], np.ndarray, list, list]:
     """Languages, and of each sampled document its language's number and sparse features."""
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(s.languages).collect()
-    n = {r[lang]: r["count"] for r in counts}
+    n = {r["l"]: r["n"] for r in known.groupBy(F.col(lang).alias("l")).agg(F.count("*").alias("n")).collect()}  # one row a language
     languages = sorted(n)
     if not languages:
         return [], np.zeros(0, int), [], []
+    each = max(s.least_docs, min(s.docs_per_language, s.sample_docs // len(languages)))
+    share = [(k, int(2**62 * min(1.0, each / n[k]))) for k in languages]
+    shares = labelled.sparkSession.createDataFrame(share, "__lang string, __share long")
     u = F.shiftrightunsigned(F.xxhash64(F.col(key), F.col(text), F.lit(s.seed)), 2)
-    wanted = F.lit(False)
-    for k in languages:
-        wanted = wanted | ((F.col(lang) == k) & (u < int(2**62 * min(1.0, s.docs_per_language / n[k]))))
     small_batches(labelled.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +123,8 @@ def _sample(labelled: DataFrame, s: Settings, text: str, lang: str, key: str) ->
                     val.append(r[i].tobytes())
             yield pa.RecordBatch.from_arrays([b.column("k"), b.column("l"), pa.array(at, pa.binary()), pa.array(val, pa.binary())], names=["k", "l", "at", "val"])
 
-    picked = known.where(wanted).select(F.xxhash64(F.col(key)).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    known = known.select(F.xxhash64(F.col(key)).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"), u.alias("u"))
+    picked = known.join(F.broadcast(shares), F.col("l") == F.col("__lang")).where("u < __share").select("k", "l", "t")
     rows = picked.mapInArrow(run, "k long, l string, at binary, val binary")
     got = sorted(rows.collect(), key=lambda r: (r["k"], r["at"]))
     number = {k: i for i, k in enumerate(languages)}
@@ -140,9 +149,11 @@ def train(labelled: DataFrame, s: Settings = Settings(), text: str = "text", lan
             x[i, at[r]] = val[r]
         return x
 
-    order = rng.permutation(len(y))
-    apart = order[: len(y) // 5] if len(y) >= 50 else order
-    fit = order[len(y) // 5 :] if len(y) >= 50 else order
+    nth = np.zeros(len(y), np.int64)  # place of each row among its language's
+    for i in range(k):
+        mine = np.flatnonzero(y == i)
+        nth[rng.permutation(mine)] = np.arange(len(mine))
+    apart, fit = np.flatnonzero(nth % 5 == 4), np.flatnonzero(nth % 5 != 4)
     per_epoch = -(-len(fit) // s.batch)
     epochs = max(s.epochs, -(-s.steps // per_epoch))
     steps, step = epochs * per_epoch, 0
@@ -166,6 +177,8 @@ def train(labelled: DataFrame, s: Settings = Settings(), text: str = "text", lan
             bias -= rate * p.sum(0)
             emb -= rate * 100 * (x.T @ into)
     model.table, model.bias = emb @ out, bias
+    if not len(apart):
+        return model
 
     z = np.concatenate([dense(apart[i : i + 256]) @ model.table + bias for i in range(0, len(apart), 256)])
     best = (np.inf, 1.0)
@@ -186,8 +199,9 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
     """``keep``, lang_pred, score (0 to 1) and accepted (the score reaches the calibrated threshold)."""
     small_batches(docs.sparkSession)
     s = model.settings
-    names = list(keep)
-    schema = docs.select(*names).schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    own = ["lang_pred", "score", "accepted"]
+    into, names, back = carried(keep, own)
+    schema = docs.select(*into).schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,6 +217,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
             pred[none], score[none] = len(model.languages), 0.0
             score = np.clip(score, 0, 1)
             out = [pa.array(names_of[pred], pa.string()), pa.array(score), pa.array((score >= model.threshold) & (pred < len(model.languages)))]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *out], names=[*names, "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *out], names=[*names, *own])
 
-    return docs.select(*names, F.col(text).alias("__text"), letters.alias("__letters")).mapInArrow(run, schema)
+    return docs.select(*into, F.col(text).alias("__text"), letters.alias("__letters")).mapInArrow(run, schema).select(*back, *own)

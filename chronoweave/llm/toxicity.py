@@ -10,7 +10,8 @@ Training runs in numpy on a bounded sample of labelled documents, over the
 features that set toxic documents of the sample apart.
 
 Defined results: a null or empty text has no sentence and scores 0; without
-any labelled document every score is 0; repeated rows score alike.
+any labelled document every score is 0; repeated rows score alike; a ``keep``
+column named like a result comes out as ``kept_`` and its name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import small_batches
+from .common import carried, small_batches
 
 
 @dataclass(frozen=True)
@@ -212,8 +213,9 @@ def train(docs: DataFrame, labels: DataFrame, s: Settings = Settings(), text: st
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
     """``keep``, score, predicted (1 from ``threshold`` on), n_sentences and n_offending."""
     small_batches(docs.sparkSession)
-    names = list(keep)
-    schema = docs.select(*names).schema.add("score", "double").add("predicted", "integer").add("n_sentences", "long").add("n_offending", "long")
+    own = ["score", "predicted", "n_sentences", "n_offending"]
+    into, names, back = carried(keep, own)
+    schema = docs.select(*into).schema.add("score", "double").add("predicted", "integer").add("n_sentences", "long").add("n_offending", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
@@ -230,17 +232,18 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ..
                     bad[i:j] = _sums(p >= threshold, x.per_text)
             got = np.clip(got, 0, 1)
             out = [pa.array(got), pa.array((got >= threshold).astype(np.int32)), pa.array(sentences), pa.array(bad)]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *out], names=[*names, "score", "predicted", "n_sentences", "n_offending"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *out], names=[*names, *own])
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*into, F.col(text).alias("__text")).mapInArrow(run, schema).select(*back, *own)
 
 
 def locate(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.5) -> DataFrame:
     """One row an offending sentence: ``keep``, sentence (number), start and end (bytes), score, text."""
     small_batches(docs.sparkSession)
-    names = list(keep)
-    schema = docs.select(*names).schema
-    for name, kind in (("sentence", "long"), ("start", "long"), ("end", "long"), ("score", "double"), ("sentence_text", "string")):
+    kinds = {"sentence": "long", "start": "long", "end": "long", "score": "double", "sentence_text": "string"}
+    into, names, back = carried(keep, list(kinds))
+    schema = docs.select(*into).schema
+    for name, kind in kinds.items():
         schema = schema.add(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,4 +262,4 @@ def locate(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, .
                 rows = [b.column(c).take(pa.array(own + i)) for c in names]
                 yield pa.RecordBatch.from_arrays([*rows, *out], names=[f.name for f in schema])
 
-    return docs.select(*names, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*into, F.col(text).alias("__text")).mapInArrow(run, schema).select(*back, *kinds)
