@@ -7,7 +7,9 @@ normalisation. Pre-tokens (matches of the splitting pattern) are encoded by
 that model one by one; ids are decoded by inverting the byte mapping.
 
 Defined results: null or empty text has no ids; any valid UTF-8 text round-trips
-byte for byte; a pre-token that is itself a rank gets that id whole.
+byte for byte; a pre-token that is itself a rank gets that id whole; repeated
+rows are encoded alike; a ``keep`` column named like a result comes out as
+``kept_`` and its name.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ import base64
 import hashlib
 import struct
 from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 import regex
 import sentencepiece
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import small_batches
+from .common import carried, small_batches
 
 #: Pre-tokens whose ids a worker remembers; as many again, the ones before them, are at hand.
 MEMO_LIMIT = 350_000
@@ -146,38 +149,44 @@ class ByteBPE:
             return list(map(self.memo.__getitem__, tokens))
 
     def encode(self, text: str) -> list[int]:
-        packed = array("I")
-        packed.frombytes(b"".join(map(itemgetter(0), self.entries(text))))
-        return packed.tolist()
+        return _ids(self.entries(text)).tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.ranks.__getitem__, ids))
 
 
+def _ids(entries: list[tuple[bytes, str, bytes]]) -> array:
+    packed = array("I")
+    packed.frombytes(b"".join(map(itemgetter(0), entries)))
+    return packed
+
+
 @lru_cache(2)
 def codec(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
-def _over(df: DataFrame, per_text: Callable, schema: str, path: str, pattern: str, text: str, keep: list[str]) -> DataFrame:
+def _over(df: DataFrame, per_text: Callable, schema: str, path: str, pattern: str, text: str, keep: Sequence[str]) -> DataFrame:
     small_batches(df.sparkSession)
     target = StructType.fromDDL(schema)
-    rows = df.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
+    own = [f.name for f in target.fields]
+    into, names, back = carried(keep, own)
+    rows = df.select(*into, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
             got = [per_text(bpe, t) for t in batch.column("__text").to_pylist()]
-            cols = [batch.column(k) for k in keep]
+            cols = [batch.column(k) for k in names]
             yield pa.RecordBatch.from_arrays(
                 cols + [pa.array([g[i] for g in got], _arrow(f.dataType.simpleString())) for i, f in enumerate(target.fields)],
-                names=keep + [f.name for f in target.fields],
+                names=names + own,
             )
 
-    full = rows.select(*keep).schema
+    full = rows.select(*names).schema
     for f in target.fields:
         full = full.add(f)
-    return rows.mapInArrow(run, full)
+    return rows.mapInArrow(run, full).select(*back, *own)
 
 
 def _arrow(kind: str) -> pa.DataType:
@@ -186,26 +195,25 @@ def _arrow(kind: str) -> pa.DataType:
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``ids array<int>`` of each whole text (null: empty)."""
-    return _over(df, lambda bpe, t: (bpe.encode(t),), "ids array<int>", path, pattern, text, list(keep))
+    return _over(df, lambda bpe, t: (bpe.encode(t),), "ids array<int>", path, pattern, text, keep)
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and ``decoded binary`` of each id list (null: empty)."""
     small_batches(df.sparkSession)
-    keep = list(keep)
-    schema = df.select(*keep).schema.add("decoded", "binary")
+    into, names, back = carried(keep, ["decoded"])
+    schema = df.select(*into).schema.add("decoded", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path, pattern)
         for batch in batches:
-            out = pa.array([bpe.decode(x or []) for x in batch.column(ids).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), out], names=[*keep, "decoded"])
+            out = pa.array([bpe.decode(x or []) for x in batch.column("__ids").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), out], names=[*names, "decoded"])
 
-    return df.select(*keep, ids).mapInArrow(run, schema)
+    return df.select(*into, F.col(ids).alias("__ids")).mapInArrow(run, schema).select(*back, "decoded")
 
 
-def _digest(bpe: ByteBPE, text: str) -> tuple[int, str, str]:
-    entries = bpe.entries(text)
+def _digest(entries: list[tuple[bytes, str, bytes]]) -> tuple[int, str, str]:
     ids, digits, decoded = zip(*entries, strict=True) if entries else ((), (), ())
     return sum(map(len, ids)) // array("I").itemsize, hashlib.sha256(",".join(digits).encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
 
@@ -215,16 +223,17 @@ def digests(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tu
 
     One pass: the ids never leave the worker, so a run moves no token lists.
     """
-    return _over(df, _digest, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", path, pattern, text, list(keep))
+    return _over(df, lambda bpe, t: _digest(bpe.entries(t)), "n_tokens bigint, ids_sha256 string, decoded_sha256 string", path, pattern, text, keep)
 
 
 def encoded(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ids, n_tokens and the SHA-256 of ids and decoded bytes of each whole text (null: empty)."""
 
     def both(bpe: ByteBPE, t: str) -> tuple:
-        return (bpe.encode(t), *_digest(bpe, t))
+        entries = bpe.entries(t)
+        return (np.frombuffer(_ids(entries), np.uint32).view(np.int32), *_digest(entries))
 
-    return _over(df, both, "ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string", path, pattern, text, list(keep))
+    return _over(df, both, "ids array<int>, n_tokens bigint, ids_sha256 string, decoded_sha256 string", path, pattern, text, keep)
 
 
 def round_trip_text(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
