@@ -1,7 +1,9 @@
 """Near duplicates by SuperMinHash signatures, banding, verification and grouping.
 
-1.  A document's set is its distinct word shingles. Equal sets fold into one
-    class at once: a class is one row from here on, however many copies it has.
+1.  A document's set is its distinct word shingles. Equal sets, told by a 128-bit
+    BLAKE2 digest of the whole sorted set, fold into one class at once: a class
+    is one row from here on, however many copies it has. Rows are numbered where
+    they are first written, and a class goes by the least of its rows' numbers.
 2.  SuperMinHash: each element visits the ``slots`` slots in its own random
     order, and its j-th visit leaves j plus a random fraction. Slots are thus
     correlated within an element and evenly used, which lowers the variance;
@@ -22,12 +24,17 @@ Comparisons inside a key or a cluster give a spanning forest, never a row a
 pair; links never reach the driver, and there is no cap on a key's size.
 
 Defined results: a text without words has an empty set and no links; with fewer
-words than a shingle has, the whole sequence is its one shingle; rows with a
-null id are a document each by their text; repeated ids are one document.
+words than a shingle has, the whole sequence is its one shingle; repeated rows
+are documents each, so are different texts under one id, and each is linked by
+its own text; rows with a null id are linked like others, their component has
+the least id that is not null, and none if there is none: then all are kept, and
+else none of them. :func:`representatives` keeps exactly one row of each group,
+of the least id and among repeated ids the first written.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +42,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textnp
-from .common import drop_table, release, small_batches, table
+from .common import drop_table, q, release, small_batches, table
 
 U64 = np.uint64
 
@@ -119,63 +127,64 @@ def _texts(column: pa.Array, s: Settings) -> Iterator[tuple[int, int, np.ndarray
         yield i, j, *shingle_sets(d, o, s)
 
 
-def signatures(docs: DataFrame, s: Settings, text: str, key: str) -> DataFrame:
-    """doc, n_shingles, set_hash, keys (one 64-bit key a band) and sig (8 bits a slot)."""
+SIGNED = "n_shingles long, digest binary, keys array<long>, sig binary"
+
+
+def signatures(docs: DataFrame, s: Settings, text: str, keep: list[str]) -> DataFrame:
+    """``keep``, n_shingles, digest (of the whole set), keys (one 64-bit key a band) and sig (8 bits a slot) of ``text``."""
     small_batches(docs.sparkSession)
+    own = StructType.fromDDL(SIGNED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         odd = (np.arange(s.rows, dtype=U64) * U64(2) + U64(1)) * U64(0x9E3779B97F4A7C15)
         band_no = np.arange(s.bands, dtype=U64) * U64(0xC2B2AE3D27D4EB4F)
         for b in batches:
-            n_all, hash_all, keys, sigs = [], [], [], []
-            for _, _, w, before in _texts(b.column("__text"), s):
-                sizes = np.diff(before)
+            sizes, digests, keys, sigs = [], [], [], []
+            for _, _, w, before in _texts(b.column(text), s):
+                n = np.diff(before)
                 sig = super_minhash(w, before, s.slots)
                 bits = np.where(np.isfinite(sig), sig, 0).view(np.uint32).astype(U64)
                 bands = (textnp.mix(bits.copy()).reshape(-1, s.bands, s.rows) * odd).sum(2, dtype=U64)
                 bands = textnp.mix(bands + band_no)
-                c = np.concatenate([[U64(0)], np.cumsum(textnp.mix(w.copy()), dtype=U64)])
-                whole = textnp.mix(c[before[1:]] - c[before[:-1]] + sizes.astype(U64))
-                n_all.append(sizes)
-                hash_all.append(whole.view(np.int64))
-                keys += [row.view(np.int64) if n else np.zeros(0, np.int64) for row, n in zip(bands, sizes, strict=True)]
+                sizes += n.tolist()
+                whole = w.tobytes()
+                digests += [hashlib.blake2b(whole[8 * i : 8 * j], digest_size=16).digest() for i, j in zip(before[:-1], before[1:], strict=True)]
+                keys += [row.view(np.int64) if k else np.zeros(0, np.int64) for row, k in zip(bands, n, strict=True)]
                 low = (textnp.mix(bits) & U64(255)).astype(np.uint8)
                 sigs += [row.tobytes() for row in low]
-            n = np.concatenate(n_all) if n_all else np.zeros(0, np.int64)
-            hashes = np.concatenate(hash_all) if hash_all else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc"), pa.array(n.astype(np.int64)), pa.array(hashes), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["doc", "n_shingles", "set_hash", "keys", "sig"],
-            )
+            out = [pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *out], names=[*keep, *own.names])
 
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, "doc long, n_shingles long, set_hash long, keys array<long>, sig binary")
+    schema = docs.select(*keep).schema
+    for f in own:
+        schema = schema.add(f)
+    return docs.mapInArrow(run, schema)
 
 
-def _sets(wanted: DataFrame, docs: DataFrame, s: Settings, text: str, key: str) -> DataFrame:
-    """(doc, shingles) of the documents in ``wanted`` (doc), whose texts are dealt by id once."""
+def _sets(wanted: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """(cls, shingles) of the ``rows`` (row, text) in ``wanted`` (cls)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = []
-            for _, _, w, before in _texts(b.column("__text"), s):
+            for _, _, w, before in _texts(b.column("text"), s):
                 sets += [w[i:j].view(np.int64) for i, j in zip(before[:-1], before[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(sets, pa.list_(pa.int64()))], names=["doc", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(sets, pa.list_(pa.int64()))], names=["cls", "shingles"])
 
-    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("__text"))
-    return texts.join(wanted.hint("merge"), "doc", "left_semi").dropDuplicates(["doc"]).mapInArrow(run, "doc long, shingles array<long>")
+    texts = rows.select(F.col("row").alias("cls"), "text")
+    return texts.join(wanted.hint("merge"), "cls", "left_semi").mapInArrow(run, "cls long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Those (a, b) of ``pairs`` that reach the threshold on their full sets."""
-    left = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
+def _verified(pairs: DataFrame, sets: DataFrame, s: Settings) -> tuple[DataFrame, str]:
+    """Those (a, b) of ``pairs`` that reach the threshold on their full sets, as a table, and its path."""
+    left = sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - both
     # the side that may be hot joins last: its rows then weigh what they are, and
     # Spark splits its partition by size
     good = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").where(both * 100 >= union * s.percent)
-    return table(pairs.sparkSession, good.select("a", "b"))[0]
+    return table(pairs.sparkSession, good.select("a", "b"))
 
 
 def _clusters(grouped: DataFrame, signed: DataFrame, s: Settings) -> DataFrame:
@@ -242,7 +251,7 @@ def _pairs(rows: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _exact(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+def _exact(members: DataFrame, sets: DataFrame, s: Settings) -> tuple[DataFrame, str]:
     """All links inside clusters that still hold several groups, as spanning forests of blocks.
 
     ``members``: cluster, cls, group. A cluster is cut into blocks; each pair of
@@ -251,11 +260,11 @@ def _exact(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """
     spark = members.sparkSession
     found = members.groupBy("cluster").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("n"))
-    open_, _ = table(spark, found.where("lo <> hi").select("cluster", F.ceil(F.col("n") / s.unit).alias("blocks")))
+    open_, open_path = table(spark, found.where("lo <> hi").select("cluster", F.ceil(F.col("n") / s.unit).alias("blocks")))
     placed = members.join(open_, "cluster").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     each = placed.select("cluster", "cls", "group", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     units = each.select("cluster", "cls", "group", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    loaded = units.join(sets.withColumnRenamed("doc", "cls").hint("merge"), "cls")
+    loaded = units.join(sets.hint("merge"), "cls")
 
     def run(t: pa.Table) -> pa.Table:
         cls, group, block = (t.column(c).to_numpy() for c in ("cls", "group", "block"))
@@ -279,7 +288,9 @@ def _exact(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
                     out.append((int(cls[k]), int(cls[m])))
         return pa.Table.from_batches([_pairs(out)])
 
-    return table(spark, loaded.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long"))[0]
+    found = table(spark, loaded.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long"))
+    drop_table(spark, open_path)
+    return found
 
 
 def _contract(edges: DataFrame) -> DataFrame:
@@ -345,46 +356,76 @@ def components(edges: DataFrame, per_task: int = 500_000) -> DataFrame:
         before = after
 
 
-def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row a document: doc_id, n_shingles, component_id (the least id reachable), kept."""
+def _grouped(docs: DataFrame, s: Settings, text: str, key: str, carry: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(the rows as written: row, doc, text, n_shingles, digest; the classes: digest, name (the least (none, doc, row) reachable); all their tables' paths).
+
+    ``carry``: the rows also hold all other columns of ``docs`` in a struct ``own``.
+    """
     spark = docs.sparkSession
-    sigs, _ = table(spark, signatures(docs, s, text, key))
-    full = sigs.where("n_shingles > 0 and doc is not null")
-    # a class: documents of one and the same set, named by its least id
-    classes, _ = table(spark, full.groupBy("set_hash", "n_shingles").agg(F.min("doc").alias("cls")))
-    reps = full.join(classes.select(F.col("cls").alias("doc")), "doc", "left_semi").dropDuplicates(["doc"])
-    keyed, keyed_path = table(spark, reps.select(F.col("doc").alias("cls"), F.explode("keys").alias("key")))
+    rows = docs.select(
+        q(key).cast("long").alias("doc"), q(text).cast("string").alias("text"), F.monotonically_increasing_id().alias("row"),
+        *([F.struct(F.lit(0).alias(text), *[q(c) for c in docs.columns if c != text]).alias("own")] if carry else []),
+    )
+    sigs, sigs_path = table(spark, signatures(rows, s, "text", rows.columns))
+    # a class: rows of one and the same set; what is equal for all of them comes from any
+    full = sigs.where("n_shingles > 0")
+    least = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "row")).alias("least")
+    classes = full.groupBy("digest").agg(F.min("row").alias("cls"), least, F.any_value("keys").alias("keys"), F.any_value("sig").alias("sig"))
+    classes, classes_path = table(spark, classes)
+    keyed, keyed_path = table(spark, classes.select("cls", F.explode("keys").alias("key")))
     shared = keyed.groupBy("key").agg(F.min("cls").alias("least"), F.count("*").alias("n")).where("n > 1").select("key", "least")
     shared, shared_path = table(spark, shared)
     near = keyed.join(shared, "key").groupBy("cls").agg(F.min("least").alias("a")).where("a < cls").select("a", F.col("cls").alias("b"))
-    near, _ = table(spark, near)
+    near, near_path = table(spark, near)
     release(spark)
     # full sets of every class that shares a key with another
-    wanted = keyed.join(shared, "key", "left_semi").select(F.col("cls").alias("doc")).distinct()
-    sets, sets_path = table(spark, _sets(wanted, docs, s, text, key))
+    wanted = keyed.join(shared, "key", "left_semi").select("cls").distinct()
+    sets, sets_path = table(spark, _sets(wanted, sigs, s))
     release(spark)
-    links = _verified(near, sets, s)
+    links, links_path = _verified(near, sets, s)
     groups = components(links)
     release(spark)
 
     grouped = keyed.join(shared, "key", "left_semi").join(groups.withColumnRenamed("node", "cls"), "cls", "left")
     grouped, grouped_path = table(spark, grouped.select("key", "cls", F.coalesce("component", "cls").alias("group")))
-    maybe, _ = table(spark, _clusters(grouped, reps.select(F.col("doc").alias("cls"), "sig"), s))
+    for path in (keyed_path, shared_path, near_path):
+        drop_table(spark, path)
+    maybe, maybe_path = table(spark, _clusters(grouped, classes.select("cls", "sig"), s))
+    drop_table(spark, grouped_path)
     small_batches(spark)
+    done = [sigs_path, classes_path, links_path, maybe_path]
     if not maybe.isEmpty():
         # a cluster: all that verified and possible links join; a class without any is its own
         joined = components(links.union(maybe)).select(F.col("node").alias("cls"), F.col("component").alias("cluster"))
         roots = joined.select(F.col("cluster").alias("cls"), "cluster").distinct()
         members = joined.union(roots).join(groups.withColumnRenamed("node", "cls"), "cls", "left")
-        members, _ = table(spark, members.select("cluster", "cls", F.coalesce("component", "cls").alias("group")))
-        groups = components(links.union(_exact(members, sets, s)))
-    for path in (keyed_path, shared_path, grouped_path, sets_path):
-        drop_table(spark, path)
+        members, members_path = table(spark, members.select("cluster", "cls", F.coalesce("component", "cls").alias("group")))
+        more, more_path = _exact(members, sets, s)
+        groups = components(links.union(more))
+        done += [members_path, more_path]
+    drop_table(spark, sets_path)
     release(spark)
     small_batches(spark)
 
-    of = classes.select(F.col("set_hash").alias("__h"), F.col("n_shingles").alias("__n"), "cls")
-    mine = (F.col("set_hash") == F.col("__h")) & (F.col("n_shingles") == F.col("__n")) & F.col("doc").isNotNull()
-    out = sigs.select("doc", "n_shingles", "set_hash").join(of, mine, "left").join(groups, F.col("cls") == F.col("node"), "left")
-    component = F.coalesce("component", "cls", "doc")
-    return out.select(F.col("doc").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc"), F.lit(True)).alias("kept"))
+    linked = groups.select(F.col("node").alias("cls"), "component")
+    linked = linked.union(linked.select(F.col("component").alias("cls"), "component").distinct())
+    names = linked.join(classes.select("cls", "least"), "cls").groupBy("component").agg(F.min("least").alias("name"))
+    of = classes.select("digest", "cls", "least").join(linked, "cls", "left").join(names, "component", "left")
+    return sigs, of.select("digest", F.coalesce("name", "least").alias("name")), done
+
+
+def near_duplicates(docs: DataFrame, s: Settings = Settings(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row a document: doc_id, n_shingles, component_id (the least id reachable), kept."""
+    sigs, of, _ = _grouped(docs, s, text, key, False)
+    out = sigs.select("doc", "n_shingles", "digest").join(of.withColumnRenamed("digest", "__digest"), (F.col("digest") == F.col("__digest")) & (F.col("n_shingles") > 0), "left")
+    component = F.when(F.col("name").isNull(), F.col("doc")).otherwise(F.col("name")["doc"])
+    return out.select(F.col("doc").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc"), component.isNull()).alias("kept"))
+
+
+def representatives(docs: DataFrame, s: Settings = Settings(), text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``docs`` without near duplicates: of each group the row of the least id, all its columns as they are."""
+    sigs, of, _ = _grouped(docs, s, text, key, True)
+    first = of.select(F.col("name")["row"].alias("row")).distinct()
+    back = [(F.col("text") if c == text else F.col("own")[c]).alias(c) for c in docs.columns]
+    kept = sigs.where("n_shingles > 0").select("row", "text", "own").join(first.hint("merge"), "row", "left_semi")
+    return kept.select(*back).union(sigs.where("n_shingles = 0").select(*back))
