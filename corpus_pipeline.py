@@ -5,8 +5,14 @@ kept; :func:`run` writes what a stage returns as Parquet into the folder that
 driver and executors share, and reads it again. All but the last return the
 columns of ``documents``, ``n_chars`` brought up to date with the text.
 
+No stage joins by doc_id but the labels of the toxicity stage: rows travel
+through the operators whole. So repeated ids are rows each, and a row without an
+id is filtered, grouped, cut and mixed by its text like any other.
+
 Defined results: a null text is kept by the toxicity filter, linked with
-nothing, has no passages, and drops out of the mix, which takes no words of it.
+nothing, has no passages, and drops out of the mix, which takes no words of it;
+a text that the cut of passages empties goes, one that was without words before
+stays; an empty table gives an empty result; extra columns stay.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.llm import bpe, mixing, neardup, suffixdedup, toxicity
-from chronoweave.llm.common import table
+from chronoweave.llm.common import WORD_CLASS, drop_table, table
 from chronoweave.llm.queries import VOCABULARY
 
 
@@ -30,19 +36,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document of the least id, once; rows without an id stay."""
-    kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Of each group of near duplicates one row, of the least id; texts without words all stay."""
+    return neardup.representatives(docs)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 200 bytes and more that also stand elsewhere; emptied texts go."""
-    left = suffixdedup.repeated_passages(docs, with_text=True).where("n_removed > 0")
-    left = left.select(F.col("doc_id").alias("__id"), F.col("kept_text").alias("__kept"))
-    got = docs.join(left, docs["doc_id"] == left["__id"], "left")
-    text = F.coalesce("__kept", "text")
-    kept = F.col("__kept").isNull() | F.col("__kept").rlike(r"[^\x20\x09-\x0D]")
-    return got.where(kept).select(*[_renewed(c, text) for c in docs.columns])
+    others = F.struct(F.col("text").isNull().alias("__null"), *[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    got = suffixdedup.repeated_passages(docs.select("doc_id", "text", others.alias("__row")), with_text=True, keep=("__row",))
+    kept = got.where((F.col("n_removed") == 0) | F.col("kept_text").rlike(WORD_CLASS))
+    text = F.when(~F.col("__row")["__null"], F.col("kept_text"))
+    return kept.select(*[text.alias(c) if c == "text" else F.length(text).cast("long").alias(c) if c == "n_chars" else F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def _renewed(column: str, text):
@@ -78,9 +82,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; the result of each but the last is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, old = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs, _ = table(spark, docs)
+            docs, path = table(spark, docs)
+            if old:
+                drop_table(spark, old)
+            old = path
     return docs
