@@ -1,13 +1,16 @@
 """Mixing sources to target weights, with DataFrame operators alone.
 
 A source's documents are dealt into shards by a seeded hash and laid out, in a
-seeded order, as one line of words a shard; a line is cut into blocks of
-``block_words`` words. Sainte-Lague apportionment gives whole blocks to sources
-by the highest quotients ``weight / (2 k - 1)``, and each source's blocks to its
-shards by the highest quotients of their sizes; no source or shard gets more
-than ``max_repeats`` times its blocks. Of its quota a shard takes whole passes
-over its line first and then spreads the rest evenly from a seeded start, which
-has a closed form: no row a block is ever made.
+seeded order, as one line of words a shard. Sainte-Lague apportionment gives
+blocks of equal size to sources by the highest quotients ``weight / (2 k - 1)``,
+and each source's blocks to its shards by the highest quotients of their sizes;
+no source or shard gets more than ``max_repeats`` times its words. Such a block
+has ``block_words`` words, or fewer where a small source's target would be less
+than ``least_blocks`` of them, down to one word. Of its quota a shard takes
+whole passes over its line first and spreads the rest evenly, in runs of
+``block_words`` words from a seeded start, which has a closed form: no row a
+block is ever made. The last run is cut where the quota ends, so a shard gives
+exactly its quota.
 
 The quotients are not enumerated. Two levels of the exact water-filling, a few
 blocks below and above the total, enclose the divisor; only the quotients
@@ -16,11 +19,12 @@ between them, three a party at most, are ranked.
 Sources and shards are tables of sums. Everything that is one row a document
 is dealt by (source, shard), and a hot source has as many shards as its size
 asks for. Spark broadcasts the table of sources only where its measured size
-is below the session's threshold, and joins it by shuffle otherwise.
+is below the session's threshold, and joins it by shuffle otherwise. The
+windows over all sources are one task's, a row a source.
 
 Defined results: null or empty text has no words and takes none; a null source
-is a source of its own, the last; repeated rows are repeated documents; an
-empty table gives an empty result.
+is a source of its own, the last; repeated rows, and different texts under one
+id, are documents each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -41,6 +45,7 @@ class Mix:
     share: float = 1.5
     max_repeats: int = 2
     block_words: int = 32
+    least_blocks: int = 16
     docs_per_shard: int = 2048
     seed: str = "mix"
 
@@ -128,10 +133,10 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _taken_before(x: Column, block: int) -> Column:
-    """Words of the picked blocks among the first ``x`` words of a shard's line.
+    """Words of the picked runs among the first ``x`` words of a shard's line, ``rest_words`` at most.
 
-    Block j of n is picked when floor((j + 1 + u) r / n) exceeds floor((j + u) r / n),
-    so the first j blocks hold floor((j + u) r / n) - floor(u r / n) picked ones.
+    Run j of n is picked when floor((j + 1 + u) r / n) exceeds floor((j + u) r / n),
+    so the first j runs hold floor((j + u) r / n) - floor(u r / n) picked ones.
     """
     n, r, u = (F.col(c) for c in ("blocks", "rest", "start"))
     j = F.floor(x / block)
@@ -139,7 +144,7 @@ def _taken_before(x: Column, block: int) -> Column:
     def picked(k: Column) -> Column:
         return F.floor((k + u) * r / n) - F.floor(u * r / n)
 
-    return picked(j) * block + (picked(j + 1) - picked(j)) * (x - j * block)
+    return F.least(F.col("rest_words"), picked(j) * block + (picked(j + 1) - picked(j)) * (x - j * block))
 
 
 def mix_quotas(docs: DataFrame, mix: Mix = Mix(), text: str = "text", doc_id: str = "doc_id", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -147,50 +152,58 @@ def mix_quotas(docs: DataFrame, mix: Mix = Mix(), text: str = "text", doc_id: st
 
     Columns: doc_id, source, ``keep``; size, source_size, target; passes (whole
     copies), taken (words, repeats counted), and the line geometry (line_start,
-    blocks, rest, start) from which :func:`mixed_texts` cuts the partial copy.
+    blocks, rest, rest_words, start) from which :func:`mixed_texts` cuts the partial copy.
     """
     own = [c for c in keep if c not in (doc_id, source)]
     sizes = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *[F.col(c).alias(f"__keep_{c}") for c in own], count_words(F.col(text)).alias("size"))
     spark = docs.sparkSession
     counted, _ = table(spark, sizes.select("doc_id", "source", "size"))
-    targets, _ = table(spark, source_targets(counted, mix))
+    least = F.min(F.when(F.col("source_size") > 0, F.col("target"))).over(Window.partitionBy())
+    unit = F.greatest(F.lit(1), F.least(F.lit(mix.block_words), F.floor(least / mix.least_blocks))).cast("long")
+    targets, _ = table(spark, source_targets(counted, mix).withColumn("__unit", unit))
     if not own:
         sizes = counted
     shards = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / mix.docs_per_shard))
-    small = targets.select(F.col("source").alias("__source"), "source_size", "target", "weight", F.col("pos").alias("__source_pos"), shards.alias("__shards"))
+    small = targets.select(F.col("source").alias("__source"), "source_size", "target", "weight", F.col("pos").alias("__source_pos"), shards.alias("__shards"), "__unit")
 
     def deal(rows: DataFrame) -> DataFrame:
         out = rows.join(small, rows["source"].eqNullSafe(small["__source"])).drop("__source")
         return out.withColumn("shard", _hash(mix.seed + "/shard/", F.col("doc_id")) % F.col("__shards"))
 
-    by_shard = deal(counted).groupBy("source", "shard", "source_size", "target", "weight", "__source_pos").agg(F.sum("size").alias("shard_size"))
-    by_shard = by_shard.withColumn("blocks", F.ceil(F.col("shard_size") / mix.block_words))
-    per_source = by_shard.groupBy("source", "weight", "__source_pos").agg(F.sum(F.col("blocks") * mix.max_repeats).alias("cap"), F.max("target").alias("__target"))
-    total = F.round(F.sum("__target").over(Window.partitionBy()) / mix.block_words).cast("long")
+    by_shard = deal(counted).groupBy("source", "shard", "source_size", "target", "weight", "__source_pos", "__unit").agg(F.sum("size").alias("shard_size"))
+    by_shard = by_shard.withColumn("cap", F.floor(F.col("shard_size") * mix.max_repeats / F.col("__unit")))
+    per_source = by_shard.groupBy("source", "weight", "__source_pos", "__unit").agg(F.sum("cap").alias("cap"), F.max("target").alias("__target"))
+    total = F.round(F.sum("__target").over(Window.partitionBy()) / F.col("__unit")).cast("long")
     parties = per_source.select("source", F.col("weight").alias("w"), "cap", F.col("__source_pos").alias("pos"), total.alias("units"))
     quotas, _ = table(spark, sainte_lague(parties, [], "units"))
     quotas = quotas.select(F.col("source").alias("__source"), F.col("quota").alias("__source_quota"))
     members = by_shard.join(quotas, by_shard.source.eqNullSafe(quotas["__source"])).select(
-        "source", "shard", F.col("shard_size").cast("double").alias("w"), (F.col("blocks") * mix.max_repeats).alias("cap"), F.col("shard").alias("pos"), "__source_quota", "blocks"
+        "source", "shard", F.col("shard_size").cast("double").alias("w"), "cap", F.col("shard").alias("pos"), "__source_quota", "shard_size", "__unit"
     )
     got = sainte_lague(members, ["source"], "__source_quota")
     start = (_hash(mix.seed + "/start/", F.concat_ws("/", F.coalesce("source", F.lit("")), F.col("shard").cast("string"))) % 1000003) / F.lit(1000003.0)
+    size, words = F.col("shard_size"), F.col("quota") * F.col("__unit")
     got = got.select(
-        F.col("source").alias("__source"), F.col("shard").alias("__shard"), "blocks",
-        F.when(F.col("blocks") > 0, F.floor(F.col("quota") / F.col("blocks"))).otherwise(0).alias("passes"),
-        F.when(F.col("blocks") > 0, F.col("quota") % F.col("blocks")).otherwise(0).alias("rest"),
-        start.alias("start"),
+        F.col("source").alias("__source"), F.col("shard").alias("__shard"), F.ceil(size / mix.block_words).alias("blocks"),
+        F.when(size > 0, F.floor(words / size)).otherwise(0).alias("passes"),
+        F.when(size > 0, words % size).otherwise(0).alias("rest_words"),
+        # the last run of a line may be short; so many picked ones hold the words all the same
+        ((-size) % mix.block_words + mix.block_words).alias("__short"), start.alias("start"),
     )
-    got, _ = table(spark, got)
+    short = F.col("__short") % mix.block_words
+    runs = F.when(F.col("rest_words") > 0, F.least(F.col("blocks"), F.ceil((F.col("rest_words") + short) / mix.block_words))).otherwise(0)
+    got, _ = table(spark, got.withColumn("rest", runs).drop("__short"))
 
-    line = Window.partitionBy("source", "shard").orderBy(_hash(mix.seed + "/order/", F.col("doc_id")), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    # different texts under one id, of one size, keep their order from run to run
+    tie = [F.xxhash64(*[F.col(f"__keep_{c}") for c in own])] if own else []
+    line = Window.partitionBy("source", "shard").orderBy(_hash(mix.seed + "/order/", F.col("doc_id")), "doc_id", "size", *tie).rowsBetween(Window.unboundedPreceding, 0)
     laid = deal(sizes).withColumn("line_start", F.sum("size").over(line) - F.col("size"))
     out = laid.join(got, laid.source.eqNullSafe(got["__source"]) & (laid.shard == got["__shard"]))
     part = F.when((F.col("rest") > 0) & (F.col("size") > 0), _taken_before(F.col("line_start") + F.col("size"), mix.block_words) - _taken_before(F.col("line_start"), mix.block_words)).otherwise(0)
     return out.select(
         "doc_id", "source", *[F.col(f"__keep_{c}").alias(c) for c in own], "size", "source_size", "target", "shard",
         F.col("passes").cast("long").alias("passes"), (F.col("passes") * F.col("size") + part).cast("long").alias("taken"),
-        "line_start", F.col("blocks").cast("long").alias("blocks"), F.col("rest").cast("long").alias("rest"), "start",
+        "line_start", F.col("blocks").cast("long").alias("blocks"), F.col("rest").cast("long").alias("rest"), F.col("rest_words").cast("long").alias("rest_words"), "start",
     )
 
 
@@ -205,9 +218,8 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), text: str = "text", doc_id: s
     taken = mix_quotas(docs.toDF(*at.values()), mix, at[text], at[doc_id], at[source], keep=tuple(at.values()))
     whole = at[text]
     words = F.regexp_extract_all(F.regexp_replace(F.col(whole), f"^{WS_CLASS}+", ""), F.lit(f"{WORD_CLASS}+{WS_CLASS}*"), 0)
-    block = lambda i: F.floor((F.col("line_start") + i) / mix.block_words)
-    n, r, u = (F.col(c) for c in ("blocks", "rest", "start"))
-    chosen = F.filter(words, lambda _, i: F.floor((block(i) + 1 + u) * r / n) > F.floor((block(i) + u) * r / n))
+    before = lambda i: _taken_before(F.col("line_start") + i, mix.block_words)
+    chosen = F.filter(words, lambda _, i: before(i + 1) > before(i))
     part = F.when(F.col("taken") > F.col("passes") * F.col("size"), F.array_join(chosen, ""))
     copies = F.concat(
         F.when((F.col("passes") > 0) & (F.col("size") > 0), F.array_repeat(F.col(whole), F.col("passes").cast("int"))).otherwise(F.array().cast("array<string>")),

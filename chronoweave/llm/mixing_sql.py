@@ -43,7 +43,7 @@ def oracle(mix: Mix = Mix()) -> str:
 
     def before(x: str) -> str:
         j = f"floor({x} / {block})"
-        return f"({picked(j)} * {block} + ({picked(f'({j} + 1)')} - {picked(j)}) * ({x} - {j} * {block}))"
+        return f"least(rest_words, {picked(j)} * {block} + ({picked(f'({j} + 1)')} - {picked(j)}) * ({x} - {j} * {block}))"
 
     weights = ", ".join(f"{w!r}" for w in mix.weights)
     early = "(ORDER BY ratio, pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
@@ -55,16 +55,19 @@ s3 AS (SELECT *, cap / w AS ratio, CAST(sum(source_size) OVER () AS DOUBLE) * {m
 s4 AS (SELECT *, (total - coalesce(sum(cap) OVER {early}, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER {early}, 0)) AS mine FROM s3),
 s5 AS (SELECT *, max(CASE WHEN mine <= ratio THEN mine END) OVER () AS level FROM s4),
 targets AS (SELECT source, source_size, w AS weight, pos AS source_pos, least(cap, coalesce(w * level, cap)) AS target, CAST(greatest(1, ceil(n_docs / {mix.docs_per_shard})) AS BIGINT) AS shards FROM s5),
+units AS (SELECT CAST(greatest(1, least({block}, floor(min(target) FILTER (source_size > 0) / {mix.least_blocks}))) AS BIGINT) AS unit FROM targets),
 dealt AS (SELECT doc_id, t.*, size, {md5('shard', doc)} % shards AS shard FROM sizes d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
-by_shard AS (SELECT source, shard, target, weight, source_pos, CAST(sum(size) AS BIGINT) AS shard_size, CAST(ceil(sum(size) / {block}) AS BIGINT) AS blocks FROM dealt GROUP BY ALL),
-per_source AS (SELECT source, weight AS w, CAST(sum(blocks * {mix.max_repeats}) AS BIGINT) AS cap, source_pos AS pos, max(target) AS target FROM by_shard GROUP BY ALL),
-parties AS (SELECT *, CAST(round(sum(target) OVER () / {block}) AS BIGINT) AS units FROM per_source),
+by_shard AS (SELECT source, shard, target, weight, source_pos, unit, CAST(sum(size) AS BIGINT) AS shard_size, CAST(sum(size) * {mix.max_repeats} // unit AS BIGINT) AS cap FROM dealt, units GROUP BY source, shard, target, weight, source_pos, unit),
+per_source AS (SELECT source, weight AS w, unit, CAST(sum(cap) AS BIGINT) AS cap, source_pos AS pos, max(target) AS target FROM by_shard GROUP BY source, weight, unit, source_pos),
+parties AS (SELECT *, CAST(round(sum(target) OVER () / unit) AS BIGINT) AS units FROM per_source),
 {_quotas('a', 'parties', '')},
-members AS (SELECT b.source, b.shard, CAST(b.shard_size AS DOUBLE) AS w, b.blocks * {mix.max_repeats} AS cap, b.shard AS pos, quota AS units, b.blocks
+members AS (SELECT b.source, b.shard, CAST(b.shard_size AS DOUBLE) AS w, b.cap, b.shard AS pos, quota AS units, b.shard_size, b.unit
   FROM by_shard b JOIN aq ON b.source IS NOT DISTINCT FROM aq.source),
 {_quotas('c', 'members', 'source')},
-got AS (SELECT source, shard, blocks, CASE WHEN blocks > 0 THEN quota // blocks ELSE 0 END AS passes, CASE WHEN blocks > 0 THEN quota % blocks ELSE 0 END AS rest,
+dealt_out AS (SELECT source, shard, CAST(ceil(shard_size / {block}) AS BIGINT) AS blocks, CASE WHEN shard_size > 0 THEN quota * unit // shard_size ELSE 0 END AS passes,
+  CASE WHEN shard_size > 0 THEN quota * unit % shard_size ELSE 0 END AS rest_words, ({block} - shard_size % {block}) % {block} AS short,
   ({md5('start', "(coalesce(source, '') || '/' || CAST(shard AS VARCHAR))")} % 1000003) / CAST(1000003 AS DOUBLE) AS start FROM cq),
+got AS (SELECT *, CASE WHEN rest_words > 0 THEN least(blocks, CAST(ceil((rest_words + short) / {block}) AS BIGINT)) ELSE 0 END AS rest FROM dealt_out),
 laid AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY {md5('order', doc)}, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS line_start FROM dealt)
 SELECT doc_id, l.source, size, source_size, target,
   CAST(passes * size + CASE WHEN rest > 0 AND size > 0 THEN {before('(line_start + size)')} - {before('line_start')} ELSE 0 END AS BIGINT) AS taken
