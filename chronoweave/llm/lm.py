@@ -1,25 +1,36 @@
 """Scoring texts by an n-gram model kept as Elias-Fano tries.
 
-The model is an absolute-discounting bigram model over whitespace words (A-Z
-lower-cased) and an end token. The unigram level gives the discounted share of
-a word, and to all unknown words together what was discounted. The bigram level
-interpolates: a stored pair has (c - D) / c(context), quantised downwards to one
-byte, and what the context's pairs were discounted, D times their number over
-c(context), goes to the unigram level, to its unknown words too. The number of pairs is the distance of
-two of the trie's monotone pointers.
-
-Blocks of documents travel as rows. A block's distinct words go, packed, to
-shards by hash, where counts of the training documents meet and words get ids;
-its distinct pairs go to shards by context, and there meet the trie that the
-shard builds of all counts, memory-mapped from its compact form; the answers
-return packed, in the order of the block's pairs. Contexts with more than a
-quarter of a shard's share of all tokens are dealt by the pair instead; their
-numbers of successors are summed over all shards, whichever of them a block
-asked, and collected: fewer than four contexts a shard, whatever the corpus.
-Nothing that grows with the corpus is broadcast or collected.
+The model interpolates words, pairs and triples of whitespace words (A-Z
+lower-cased) and an end token by absolute discounting. An n-gram seen c times
+after a context seen C times has (c - D) / C; what its context's n-grams were
+discounted, D times their number over C, goes to the next lower order. Below the
+words, the mass is spread evenly over an explicit open vocabulary: the words of
+the training texts and as many unseen ones and one more (``open_words``), so
+that an unseen word always scores below any word seen. The first word of a text
+has no pair before it, and the second has the text's start before its pair.
+Probabilities are quantised downwards, in two bytes for words and one for pairs
+and triples, so that over the open vocabulary they sum to 1 at most.
+
+Every word of a text but the end token is the middle v of just one triple
+(u, v, w). So triples dealt by v bring everything together: the count of v, the
+pairs (v, w), the triples and the pairs (u, v) as contexts. Blocks of documents
+travel as rows; a block's distinct triples go, packed, to the shard of v, which
+builds a trie of all counts, memory-mapped from its compact form, and answers
+from it, in the order in which the block asked. This runs in ``rounds`` parts,
+so that the shuffle files of one part are gone before the next begins.
+
+No word is too frequent for a shard: a hot word's triples are dealt by (v, u),
+those of a hot pair (u, v) by the triple, and a hot word's pairs by the pair,
+after equal ones met in their block. What shards know of hot contexts, counts
+and numbers of successors, is summed over all of them. The hot words and pairs,
+2^19 of either at most whatever the corpus, are all that the driver collects.
+
+A block gives one row a shard at most, and a row for each of its distinct words
+at most; shards are as many as the measured number of tokens asks for.
 
 Defined results: a null or empty text is one end token; repeated rows count and
-score each; without training documents every score is that of unknown tokens.
+score each; ids may be null or repeat; without training documents the open
+vocabulary is one word, and all scores are 0.
 """
 
 from __future__ import annotations
@@ -30,40 +41,56 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import drop_table, packed, release, shuffle_parts, small_batches, table, two_tables, unpacked
-from .eliasfano import Trie
+from .common import packed, q, release, shuffle_parts, small_batches, table, unpacked
+from .eliasfano import NEAR, Trie, _starts
 
 U64 = np.uint64
 END = U64(0x454E44)  # stands for the end token among word hashes
-#: Steps of the quantised log10 probabilities: a byte spans nine decades.
+START = U64(0x5354415254)  # stands before the first word, as u of a triple alone
+#: Steps of the quantised log10 probabilities: a byte spans nine decades, two bytes twenty.
 STEP = 9.0 / 254
-#: Stands for all unknown words in the pairs that a block asks; ids are below it.
-UNKNOWN = 1 << 40
+FINE = 20.0 / 65534
+#: Kinds of what a block asks a shard for.
+PAIR, TRIPLE = 2, 3
 
 
 @dataclass(frozen=True)
 class Settings:
-    discount: float = 0.75
+    #: What is discounted of the counts of words, pairs and triples.
+    discounts: tuple[float, float, float] = (0.75, 0.75, 0.9)
+    #: Unseen words in the open vocabulary, for each word of the training texts and once more.
+    open_words: float = 1.0
     block_bytes: int = 1 << 23
+    #: Tokens of a shard, on average.
+    shard_tokens: int = 1 << 20
+    rounds: int = 3
 
 
-def quantise(p: np.ndarray) -> np.ndarray:
-    """Codes 1 to 255 of probabilities, rounded down."""
-    return np.clip(255 + np.floor(np.log10(p) / STEP), 1, 255).astype(np.uint8)
+def quantise(p: np.ndarray, step: float = STEP, top: int = 255) -> np.ndarray:
+    """Codes 1 to ``top`` (certainty) of probabilities, rounded down; 0, no probability at all, below the lowest step."""
+    with np.errstate(divide="ignore"):
+        code = top + np.floor(np.log10(np.minimum(p, 1.0)) / step + 1e-9)
+    return np.where(code >= 1, code, 0).astype(np.int64)
 
 
-def dequantise(code: np.ndarray) -> np.ndarray:
-    table = 10 ** ((np.arange(256) - 255) * STEP)
-    table[0] = 0.0
-    return table[code]
+def dequantise(code: np.ndarray, step: float = STEP, top: int = 255) -> np.ndarray:
+    return np.where(code > 0, 10.0 ** ((code.astype(np.float64) - top) * step), 0.0)
 
 
-BLOCKS = "block long, shard int, n int, words binary, counts binary, ids binary, known binary, held binary, n_docs int, per_doc binary, n_tokens long, tokens binary"
-_PARTS = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("words", "counts", "ids", "known", "held")), ("n_docs", pa.int32()), ("per_doc", pa.binary()), ("n_tokens", pa.int64()), ("tokens", pa.binary())])
+# -- what a block holds ------------------------------------------------------------
+
+TEXTS = "block long, n_words int, words binary, n_docs int, ids binary, known binary, held binary, per_doc binary, n_tokens long, tokens binary, n_train long, n_train_docs long"
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+_TEXTS = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in TEXTS.split(", ")])
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
 
 def _with_ends(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +102,8 @@ def _with_ends(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, before
 
 
-def _blocks(docs: DataFrame, s: Settings, shards: int) -> DataFrame:
-    """Rows of two kinds: a block's tokens as local ids (shard -1), and its distinct words in each shard."""
+def _blocks(docs: DataFrame, s: Settings) -> DataFrame:
+    """Rows of a block's distinct words (sorted hashes) and its tokens as places among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 24
@@ -85,21 +112,9 @@ def _blocks(docs: DataFrame, s: Settings, shards: int) -> DataFrame:
 
         def block() -> pa.RecordBatch:
             tokens, ids, known, out, per = (np.concatenate(x) for x in zip(*held, strict=True))
-            train = np.repeat(~out, per)
             words, local = np.unique(tokens, return_inverse=True)
-            counts = np.bincount(local, train, len(words)).astype(np.int32)
-            shard = (words % U64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            rank = np.empty(len(words), np.int32)
-            rank[order] = np.arange(len(words))
-            words, counts, shard = words[order], counts[order], shard[order]
-            cut = np.searchsorted(shard, np.arange(shards + 1))
-            rows = [(number, -1, len(words), None, None, ids.tobytes(), known.tobytes(), out.tobytes(), len(ids), per.astype(np.int64).tobytes(), len(tokens), packed(rank[local]))]
-            for k in range(shards):
-                a, z = cut[k], cut[k + 1]
-                if z > a:
-                    rows.append((number, k, int(z - a), words[a:z].tobytes(), packed(counts[a:z]), *[None] * 7))
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PARTS, strict=True)], schema=_PARTS)
+            row = (number, len(words), words.tobytes(), len(ids), ids.tobytes(), known.tobytes(), out.tobytes(), per.astype(np.int64).tobytes(), len(tokens), packed(local.astype(np.int32)), int(per[~out].sum()), int((~out).sum()))
+            return _batch([row], _TEXTS)
 
         for b in batches:
             data, off = textnp.buffers(b.column("__text"))
@@ -117,191 +132,352 @@ def _blocks(docs: DataFrame, s: Settings, shards: int) -> DataFrame:
         if held:
             yield block()
 
-    return docs.mapInArrow(run, BLOCKS)
+    return docs.mapInArrow(run, TEXTS)
+
+
+@dataclass(frozen=True)
+class Hot:
+    """Frequent words and pairs (u, v), sorted by hash; what was seen of them is near their counts and the same everywhere."""
 
+    words: np.ndarray
+    words_seen: np.ndarray
+    pairs: np.ndarray
+    pairs_seen: np.ndarray
 
-def _counted(t: pa.Table) -> pa.Table:
-    """A shard's words: their counts over all blocks, and ids; sums in a row of block -1."""
-    n = t.column("n").to_numpy()
-    words = np.frombuffer(b"".join(t.column("words").to_pylist()), U64)
-    counts = np.concatenate([unpacked(c, k, np.int32) for c, k in zip(t.column("counts").to_pylist(), n, strict=True)])
-    distinct, at = np.unique(words, return_inverse=True)
-    total = np.bincount(at, counts, len(distinct)).astype(np.int64)
-    rank = np.where(total > 0, np.cumsum(total > 0) - 1, -1)
-    cut = np.concatenate([[0], np.cumsum(n)])
-    pairs = list(zip(cut[:-1], cut[1:], strict=True))
-    shard = t.column("shard").to_pylist()
-    return pa.table({
-        "block": pa.array([*t.column("block").to_pylist(), -1], pa.int64()),
-        "shard": pa.array([*shard, shard[0]], pa.int32()),
-        "n": pa.array([*n.tolist(), int((total > 0).sum())], pa.int64()),
-        "total": pa.array([*[0] * len(n), int(total.sum())], pa.int64()),
-        "ranks": pa.array([*[packed(rank[at[a:z]]) for a, z in pairs], None], pa.binary()),
-        "counts": pa.array([*[packed(total[at[a:z]]) for a, z in pairs], None], pa.binary()),
-    })
+    @staticmethod
+    def place(of: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The place of each x in the sorted ``of``, -1 where it is not."""
+        i = np.minimum(np.searchsorted(of, x), max(0, len(of) - 1))
+        return np.where(of[i] == x, i, -1) if len(of) else np.full(len(x), -1)
 
 
-def _hot(count: np.ndarray, shards: int, n: int) -> np.ndarray:
-    """Which contexts are so frequent among ``n`` tokens that their pairs are dealt over the shards."""
-    return count * (4 * shards) > n
+def pair_key(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return textnp.mix(u * U64(0x9E3779B97F4A7C15) + v)
 
 
 class Block:
-    """A block once its words are known: global ids and counts of its tokens."""
-
-    def __init__(self, r: dict, shards: int):
-        parts = sorted(r["words"], key=lambda p: p["shard"])
-        local = unpacked(r["tokens"], r["n_tokens"], np.int32)
-        rank = np.concatenate([unpacked(p["ranks"], p["n"], np.int64) for p in parts])
-        count = np.concatenate([unpacked(p["counts"], p["n"], np.int64) for p in parts])
-        if len(rank) != r["n"]:
-            raise ValueError("a shard's answer is missing")
-        ids = np.where(rank < 0, -1, rank * shards + np.repeat([p["shard"] for p in parts], [p["n"] for p in parts]))
+    """A block's triples."""
+
+    def __init__(self, r: dict):
+        self.words = np.frombuffer(r["words"], U64)
+        self.tokens = unpacked(r["tokens"], r["n_tokens"], np.int32).astype(np.int64)
         self.per = np.frombuffer(r["per_doc"], np.int64)
         self.before = np.concatenate([[0], np.cumsum(self.per)])
         self.doc = textnp.owners(self.before)
-        self.ids, self.count = ids[local], count[local]
         self.out = np.frombuffer(r["held"], bool)
-        # the tokens with a known predecessor in the same text
-        self.at = np.flatnonzero((self.doc[1:] == self.doc[:-1]) & (self.ids[:-1] >= 0)) + 1
-
-    def pairs(self, shards: int, n: int) -> tuple[np.ndarray, ...]:
-        """Distinct (context, word) pairs by shard, context and word; which one each of ``at`` is; the shards."""
-        u, w, c = self.ids[self.at - 1], self.ids[self.at], self.count[self.at - 1]
-        w = np.where(w < 0, UNKNOWN, w)
-        hot = _hot(c, shards, n)
-        shard = np.where(hot, textnp.mix(u.astype(U64) * U64(0x9E3779B97F4A7C15) + w.astype(U64)) % U64(shards), textnp.mix(u.astype(U64)) % U64(shards)).astype(np.int64)
-        order = np.lexsort((w, u, shard))
-        u, w, c, shard = u[order], w[order], c[order], shard[order]
-        new = np.ones(len(u), bool)
-        new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-        which = np.empty(len(u), np.int64)
+        last = np.zeros(len(self.tokens), bool)
+        last[self.before[1:] - 1] = True
+        self.middle = np.flatnonzero(~last)
+        first = np.zeros(len(self.tokens), bool)
+        first[self.before[:-1]] = True
+        # the start of a text goes by the place past the last word
+        self.u = np.where(first[self.middle], len(self.words), self.tokens[np.maximum(self.middle - 1, 0)])
+        self.v, self.w = self.tokens[self.middle], self.tokens[self.middle + 1]
+        self.train = ~self.out[self.doc[self.middle]]
+
+    def hashes(self, i: np.ndarray) -> np.ndarray:
+        return np.append(self.words, START)[i]
+
+    def distinct(self, *columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """(the distinct rows of columns of places, sorted; which one each row is)."""
+        bits = (len(self.words) + 1).bit_length()
+        if bits * len(columns) <= 63:
+            key = np.zeros(len(columns[0]), np.int64)
+            for c in columns:
+                key = key << bits | c
+            key, which = np.unique(key, return_inverse=True)
+            return [key >> bits * k & (1 << bits) - 1 for k in reversed(range(len(columns)))], which
+        order = np.lexsort(columns[::-1])
+        ranked = [c[order] for c in columns]
+        new = _starts(*ranked)
+        which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        train = np.bincount(which, ~self.out[self.doc[self.at]], int(new.sum())).astype(np.int32)
-        return u[new], w[new], c[new], shard[new], train, which
+        return [c[new] for c in ranked], which
+
+    def asked(self, hot: Hot, shards: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """(v, u, w, shard, number in training texts) of the distinct triples by shard, v, u and w; which one each middle's is."""
+        (v, u, w), which = self.distinct(self.v, self.u, self.w)
+        n = np.bincount(which, self.train, len(v)).astype(np.int64)
+        hv, hu, hw = self.hashes(v), self.hashes(u), self.hashes(w)
+        pair = pair_key(hu, hv)
+        often = Hot.place(hot.words, hv) >= 0
+        by = np.where(often, np.where(Hot.place(hot.pairs, pair) >= 0, pair_key(hw, pair), pair), hv)
+        return self._ordered(v, u, w, n, textnp.mix(by.copy()), shards, which)
+
+    def asked_pairs(self, hot: Hot, shards: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The same of the pairs (v, w) of hot words v; and the middles that have one."""
+        at = np.flatnonzero(Hot.place(hot.words, self.words)[self.v] >= 0) if len(self.words) else np.zeros(0, np.int64)
+        (v, w), which = self.distinct(self.v[at], self.w[at])
+        n = np.bincount(which, self.train[at], len(v)).astype(np.int64)
+        got, which = self._ordered(v, np.zeros(len(v), np.int64), w, n, pair_key(self.hashes(w), self.hashes(v)), shards, which)
+        return got, which, at
+
+    @staticmethod
+    def _ordered(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, by: np.ndarray, shards: int, which: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        shard = (by % U64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return [v[order], u[order], w[order], shard[order], n[order]], back[which]
 
 
-def _asked(shards: int, n: int):
-    """Blocks with known words -> their distinct pairs, packed by shard."""
+def _near(h: np.ndarray) -> np.ndarray:
+    """The bits of hashes by which words are told among the neighbours of a word."""
+    return h >> U64(64 - NEAR)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : NEAR // 8].tobytes()
+
+
+def _wide(b: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : NEAR // 8] = np.frombuffer(b, np.uint8).reshape(n, NEAR // 8)
+    return out.reshape(-1).view("<u8").astype(U64)
+
+
+# -- hot words and pairs -------------------------------------------------------------
+
+
+def _often(cutoff: int, words: np.ndarray | None):
+    """Blocks -> (key, number) of what is frequent in a block's training texts: words, or pairs of the hot ``words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "shard", "n", "n_contexts", "contexts", "runs", "totals", "words", "train"]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
         for b in batches:
             for r in b.to_pylist():
-                u, w, c, shard, train, _ = Block(r, shards).pairs(shards, n)
-                cut = np.searchsorted(shard, np.arange(shards + 1))
-                rows = []
-                for k in range(shards):
-                    a, z = cut[k], cut[k + 1]
-                    if z == a:
-                        continue
-                    first = np.flatnonzero(np.concatenate([[True], u[a:z][1:] != u[a:z][:-1]]))
-                    own = u[a:z][first]
-                    runs = np.diff(np.concatenate([first, [z - a]])).astype(np.int32)
-                    rows.append((r["block"], k, int(z - a), len(own), packed(np.diff(own, prepend=0)), packed(runs), packed(c[a:z][first]), packed(w[a:z]), packed(train[a:z])))
-                cols = list(zip(*rows, strict=True)) or [[]] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=names)
+                x = Block(r)
+                if words is None:
+                    n, key = np.bincount(x.v, x.train, len(x.words)).astype(np.int64), x.words
+                else:
+                    hot = np.append(Hot.place(words, x.words) >= 0, True)
+                    at = np.flatnonzero(hot[x.u] & hot[x.v] & x.train)
+                    key, n = np.unique(pair_key(x.hashes(x.u[at]), x.hashes(x.v[at])), return_counts=True)
+                m = n >= cutoff
+                yield pa.RecordBatch.from_arrays([pa.array(key[m].view(np.int64)), pa.array(n[m].astype(np.int64))], names=["key", "n"])
 
     return run
 
 
-def _answered(s: Settings, keep_model: bool, shards: int, n: int):
-    """A shard's pairs of all blocks -> its trie (block -1), and each block's codes and numbers of successors.
+def _hot(texts: DataFrame, tokens: int, n: int, blocks: int, shards: int, s: Settings) -> Hot:
+    """Words and pairs with more than a quarter of a shard's tokens; blocks report what could sum up to that."""
+    least = max(2, min(s.shard_tokens, -(-tokens // shards)) // 4, n >> 18)
+    cutoff = max(1, least // (2 * max(1, blocks)))
+
+    def found(words: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        often = texts.mapInArrow(_often(cutoff, words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        rows = often.where(F.col("n") > least // 2).collect()  # 2 n / least <= 2^19 rows
+        key, count = np.array([r["key"] for r in rows], np.int64).view(U64), np.array([r["n"] for r in rows], np.int64)
+        order = np.argsort(key)
+        return key[order], count[order]
+
+    none = np.zeros(0, U64)
+    if n <= least // 2:
+        return Hot(none, none.astype(np.int64), none, none.astype(np.int64))
+    words, words_seen = found(None)
+    return Hot(words, words_seen, *(found(words) if len(words) else (none, none.astype(np.int64))))
+
+
+# -- asking the shards ----------------------------------------------------------------
+
+ASKED = "block long, shard int, kind int, n int, n_v int, v binary, runs binary, u binary, w binary, train binary"
+_ASKED = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in ASKED.split(", ")])
+ANSWERED = "block long, shard int, kind int, n int, n_v int, codes binary, more binary, shares binary, counts binary, nexts binary"
+_ANSWERED = pa.schema([(c.split()[0], _KINDS[c.split()[1]]) for c in ANSWERED.split(", ")])
+#: Blocks that stand for a shard's own rows: its trie, its number of words, its part of the hot words and pairs.
+MODEL, WORDS, HOT_WORDS, HOT_PAIRS = -1, -2, -3, -4
+
+
+def _asked(hot: Hot, shards: int, part: int, parts: int):
+    """Blocks -> their distinct triples, and pairs of hot words, packed by shard; those shards whose number falls to ``part``."""
+
+    def rows(block: int, kind: int, x: Block, got: list[np.ndarray]) -> Iterator[tuple]:
+        mine = got[3] % parts == part
+        v, u, w, shard, n = (c[mine] for c in got)
+        if not len(v):
+            return
+        edge = np.flatnonzero(np.concatenate([_starts(shard), [True]]))
+        for a, z in zip(edge[:-1], edge[1:], strict=True):
+            first = np.flatnonzero(_starts(v[a:z]))
+            runs = np.diff(np.concatenate([first, [z - a]])).astype(np.int32)
+            yield (
+                block, int(shard[a]), kind, int(z - a), len(first), x.words[v[a:z][first]].tobytes(), packed(runs),
+                _narrow(_near(x.hashes(u[a:z]))) if kind == TRIPLE else None, _narrow(_near(x.words[w[a:z]])), packed(n[a:z].astype(np.int32)),
+            )
 
-    The shard's part of the hot contexts' successors is a row of block -2.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
+                x = Block(r)
+                out = list(rows(r["block"], TRIPLE, x, x.asked(hot, shards)[0]))
+                if len(hot.words):
+                    out += rows(r["block"], PAIR, x, x.asked_pairs(hot, shards)[0])
+                yield _batch(out, _ASKED)
+
+    return run
+
+
+def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns, sorted, and the sums of ``n`` over each."""
+    order = np.lexsort(columns[::-1])
+    ranked = [c[order] for c in columns]
+    new = _starts(*ranked)
+    return [c[new] for c in ranked], np.bincount(np.cumsum(new) - 1, n[order], int(new.sum())).astype(np.int64) if len(n) else n[order]
+
+
+def _model(v: np.ndarray, u: np.ndarray, w: np.ndarray, train: np.ndarray, triple: np.ndarray, hot: Hot, n: int, s: Settings) -> tuple[Trie, np.ndarray, list[tuple]]:
+    """(a shard's trie, the counts of its words, rows of its words' number and its parts of hot contexts)."""
+    m = (train > 0) & triple
+    (v3, u3, w3), n3 = _summed([v[m], u[m], w[m]], train[m])
+    m = (train > 0) & ~triple
+    (v2, w2), n2 = _summed([v[m], w[m]], train[m])
+    # pairs of words that are not hot come from their triples; of hot ones those
+    # that only triples have here get a place but no probability
+    often = Hot.place(hot.words, v3) >= 0
+    (va, wa), na = _summed([np.concatenate([v3, v2]), np.concatenate([w3, w2])], np.concatenate([np.where(often, 0, n3), n2]))
+    words, at = np.unique(va, return_inverse=True)
+    count = np.bincount(at, na, len(words)).astype(np.int64)
+    hot_word = Hot.place(hot.words, words)
+    d1, d2, d3 = s.discounts
+    codes1 = np.where(hot_word < 0, quantise((count - d1) / max(n, 1), FINE, 65535), 0)
+    # a hot context's count is summed up only later: what was seen of it stands in
+    size = np.where(hot_word >= 0, hot.words_seen[np.maximum(hot_word, 0)] if len(hot.words) else 1, np.maximum(count, 1))
+    codes2 = np.where(na > 0, quantise(np.maximum(na - d2, 1e-300) / size[at]), 0)
+    new = _starts(v3, u3) if len(v3) else np.zeros(0, bool)
+    pair = np.cumsum(new) - 1
+    c_pair = np.bincount(pair, n3, int(new.sum())).astype(np.int64)
+    wide = np.bincount(pair, minlength=int(new.sum()))
+    place = np.full(len(c_pair), -1)
+    if len(hot.pairs):
+        seen_u = _near(np.append(hot.words, START))  # hot pairs are of hot words, which stand apart by their first bits
+        by_u = np.argsort(seen_u)
+        i = Hot.place(seen_u[by_u], u3[new])
+        whole = np.append(hot.words, START)[by_u][np.maximum(i, 0)]
+        place = np.where(i >= 0, Hot.place(hot.pairs, pair_key(whole, v3[new])), -1)
+    size = np.where(place >= 0, hot.pairs_seen[np.maximum(place, 0)] if len(hot.pairs) else 1, np.maximum(c_pair, 1))
+    codes3 = quantise(np.maximum(n3 - d3, 1e-300) / size[pair]) if len(pair) else pair
+    share = np.where(place >= 0, 255, np.minimum(quantise(d3 * wide / np.maximum(c_pair, 1)), 254))
+    trie = Trie.build(words, codes1, (at, wa, codes2), (np.searchsorted(words, v3), u3, w3, codes3, share[pair] if len(pair) else pair))
+    more = [(WORDS, 0, 0, int(((count > 0) & (hot_word < 0)).sum()), 0, *[None] * 5)]
+    for kind, mine, total, number in ((HOT_WORDS, hot_word, count, np.bincount(at, na > 0, len(words))), (HOT_PAIRS, place, c_pair, wide)):
+        i = np.flatnonzero(mine >= 0)
+        if len(i):
+            more.append((kind, 0, 0, len(i), 0, packed(mine[i].astype(np.int64)), None, None, packed(total[i].astype(np.int64)), packed(number[i].astype(np.int64))))
+    return trie, count, more
+
+
+def _answered(hot: Hot, n: int, s: Settings, keep_model: bool):
+    """What all blocks asked a shard -> their answers; its trie if wanted."""
 
     def run(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        lists = []
-        for r in rows:
-            own = np.cumsum(unpacked(r["contexts"], r["n_contexts"], np.int64))
-            runs = unpacked(r["runs"], r["n_contexts"], np.int32)
-            lists.append((own, runs, unpacked(r["totals"], r["n_contexts"], np.int64), unpacked(r["words"], r["n"], np.int64), unpacked(r["train"], r["n"], np.int32)))
-        u = np.concatenate([np.repeat(x[0], x[1]) for x in lists])
-        c = np.concatenate([np.repeat(x[2], x[1]) for x in lists])
-        w, train = np.concatenate([x[3] for x in lists]), np.concatenate([x[4] for x in lists])
-        m = train > 0
-        u, w, c, train = u[m], w[m], c[m], train[m]
-        order = np.lexsort((w, u))
-        u, w, c, train = u[order], w[order], c[order], train[order]
-        new = np.ones(len(u), bool)
-        new[1:] = (u[1:] != u[:-1]) | (w[1:] != w[:-1])
-        total = np.bincount(np.cumsum(new) - 1, train) if len(u) else np.zeros(0)
-        u, w, c = u[new], w[new], c[new]
-        first = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, np.int64)
-        parts = np.diff(np.concatenate([first, [len(u)]]))
-        hot = _hot(c[first], shards, n)
-        hot_contexts, hot_parts = u[first][hot], parts[hot]
-        blob = Trie.build(u, w, quantise((total - s.discount) / np.maximum(c, 1))).to_bytes()
-        del u, w, c, train, order, new, total
+        rows = t.drop_columns(["v", "runs", "u", "w", "train"]).to_pylist()
+        bounds = np.concatenate([[0], np.cumsum(t.column("n").to_numpy())])
+        bounds_v = np.concatenate([[0], np.cumsum(t.column("n_v").to_numpy())])
+        own = np.frombuffer(b"".join(t.column("v").to_pylist()), U64)
+        runs = np.concatenate([unpacked(b, k, np.int32) for b, k in zip(t.column("runs").to_pylist(), t.column("n_v").to_pylist(), strict=True)])
+        v = np.repeat(own, runs)
+        w = np.concatenate([_wide(b, k) for b, k in zip(t.column("w").to_pylist(), t.column("n").to_pylist(), strict=True)])
+        u = np.concatenate([np.zeros(k, U64) if b is None else _wide(b, k) for b, k in zip(t.column("u").to_pylist(), t.column("n").to_pylist(), strict=True)])
+        train = np.concatenate([unpacked(b, k, np.int32) for b, k in zip(t.column("train").to_pylist(), t.column("n").to_pylist(), strict=True)])
+        kind = np.repeat(t.column("kind").to_numpy(), t.column("n").to_numpy())
+        built, count, more = _model(v, u, w, train, kind == TRIPLE, hot, n, s)
+        blob = built.to_bytes()
+        del built, train
         trie = Trie.mapped(blob)
-        codes, spread = [], []
-        for own, runs, _, words, _ in lists:
-            rank, lo, hi = trie.ranges(own)
-            codes.append(packed(trie.lookup(np.repeat(rank, runs), np.repeat(lo, runs), np.repeat(hi, runs), words)))
-            spread.append(packed((hi - lo).astype(np.int32)))
-        more = [(-1, 0, blob, None)] if keep_model else []
-        if len(hot_contexts):
-            more.append((-2, len(hot_contexts), packed(hot_contexts), packed(hot_parts)))
-        return pa.table({
-            "block": pa.array([r["block"] for r in rows] + [x[0] for x in more], pa.int64()),
-            "shard": pa.array([r["shard"] for r in rows] + [rows[0]["shard"]] * len(more), pa.int32()),
-            "n": pa.array([r["n"] for r in rows] + [0] * len(more), pa.int32()),
-            "n_contexts": pa.array([r["n_contexts"] for r in rows] + [x[1] for x in more], pa.int32()),
-            "codes": pa.array(codes + [x[2] for x in more], pa.binary()),
-            "spread": pa.array(spread + [x[3] for x in more], pa.binary()),
-        })
+        out = [(MODEL, 0, 0, 0, 0, blob, None, None, None, None)] if keep_model else []
+        out += more
+        at, known = trie.find(own)
+        counts = np.where(known, count[np.minimum(at, len(count) - 1)], 0) if len(count) else np.zeros(len(own), np.int64)
+        nexts = trie.number_next(at, known).astype(np.int32)
+        at, known = np.repeat(at, runs), np.repeat(known, runs)
+        code2, place = trie.pairs(at, known, w)
+        code3, share = trie.triples(at, known, u, place)
+        for i, r in enumerate(rows):
+            a, z, av, zv = bounds[i], bounds[i + 1], bounds_v[i], bounds_v[i + 1]
+            if r["kind"] == TRIPLE:
+                out.append((r["block"], r["shard"], TRIPLE, r["n"], r["n_v"], packed(code3[a:z]), packed(code2[a:z]), packed(share[a:z]), packed(counts[av:zv]), packed(nexts[av:zv])))
+            else:
+                out.append((r["block"], r["shard"], PAIR, r["n"], r["n_v"], packed(code2[a:z]), None, None, None, None))
+        shard = rows[0]["shard"]
+        return pa.Table.from_batches([_batch([(x[0], shard, *x[2:]) if x[0] < 0 else x for x in out], _ANSWERED)])
 
     return run
 
 
-def _hot_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hot contexts that shards answered, with their numbers of successors there."""
-    for b in batches:
-        for r in b.to_pylist():
-            cols = [pa.array(unpacked(r[c], r["n_contexts"], np.int64)) for c in ("codes", "spread")]
-            yield pa.RecordBatch.from_arrays(cols, names=["context", "successors"])
+# -- scoring ---------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Totals:
+    """What the shards know together: tokens and words of the training texts, and hot contexts with counts and numbers of successors."""
+
+    n: int
+    v: int
+    ends: int
+    word_count: np.ndarray
+    word_next: np.ndarray
+    pair_count: np.ndarray
+    pair_next: np.ndarray
+
 
+def unigram(count: np.ndarray, n: int, v: int, s: Settings) -> np.ndarray:
+    """Probabilities of words by their counts, those of the open vocabulary's unseen words included."""
+    if not n:
+        return np.ones(len(count))
+    unseen = s.discounts[0] * v / n / (v + s.open_words * (v + 1))
+    return dequantise(quantise(np.maximum(count - s.discounts[0], 1e-300) / n, FINE, 65535), FINE, 65535) * (count > 0) + unseen
 
-def _scored(s: Settings, shards: int, n: int, v: int, hot: np.ndarray, hot_wide: np.ndarray):
-    """Scores; ``hot`` contexts, sorted, and their numbers of successors over all shards."""
+
+def _scored(hot: Hot, shards: int, t: Totals, s: Settings):
+    d2, d3 = s.discounts[1:]
+
+    def ordered(parts: list[dict], kind: int, column: str, number: str, dtype: type) -> np.ndarray:
+        got = [unpacked(p[column], p[number], dtype) for p in parts if p["kind"] == kind]
+        return np.concatenate(got) if got else np.zeros(0, dtype)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        unknown = s.discount * v / n if n else 1.0
         for b in batches:
-            for r in b.to_pylist():
-                x = Block(r, shards)
-                base = np.log10((x.count + 1) / (n + v + 1))
-                low = np.where(x.count > 0, (x.count - s.discount) / max(n, 1), unknown)
-                p = low.copy()
-                u, _, c, shard, _, which = x.pairs(shards, n)
-                if len(u):
-                    parts = sorted(r["pairs"] or [], key=lambda q: q["shard"])
-                    code = np.concatenate([unpacked(q["codes"], q["n"], np.uint8) for q in parts])
-                    spread = np.concatenate([unpacked(q["spread"], q["n_contexts"], np.int32) for q in parts])
-                    if len(code) != len(u):
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
+                x = Block(r)
+                parts = sorted(r["answers"] or [], key=lambda p: p["shard"])
+                (v, u, w, shard, _), which = x.asked(hot, shards)
+                code3, code2 = ordered(parts, TRIPLE, "codes", "n", np.uint8), ordered(parts, TRIPLE, "more", "n", np.uint8)
+                if len(code3) != len(v):
+                    raise ValueError("a shard's answer is missing")
+                share = dequantise(ordered(parts, TRIPLE, "shares", "n", np.uint8))
+                # counts of words: of a hot one from the sums, of another from its one shard
+                first = _starts(shard, v) if len(v) else np.zeros(0, bool)
+                count, nexts = np.zeros(len(x.words), np.int64), np.zeros(len(x.words), np.int64)
+                count[v[first]], nexts[v[first]] = ordered(parts, TRIPLE, "counts", "n_v", np.int64), ordered(parts, TRIPLE, "nexts", "n_v", np.int32)
+                often = Hot.place(hot.words, x.words)
+                m = often >= 0
+                count[m], nexts[m] = t.word_count[often[m]], t.word_next[often[m]]
+                count[x.words == END] = t.ends
+                p3, p2 = dequantise(code3), dequantise(code2)
+                if len(hot.words):
+                    pair = Hot.place(hot.pairs, pair_key(x.hashes(u), x.words[v]))
+                    m = pair >= 0
+                    c = np.maximum(t.pair_count[pair[m]], 1)
+                    p3[m] *= np.minimum(1.0, hot.pairs_seen[pair[m]] / c)
+                    share[m] = np.where(t.pair_count[pair[m]] > 0, np.minimum(1.0, d3 * t.pair_next[pair[m]] / c), 1.0)
+                p3, p2, share = p3[which], p2[which], share[which]
+                if len(hot.words):
+                    (v2, *_), of, there = x.asked_pairs(hot, shards)
+                    got = ordered(parts, PAIR, "codes", "n", np.uint8)
+                    if len(got) != len(v2):
                         raise ValueError("a shard's answer is missing")
-                    # runs of one context in one shard, in the order in which they were asked
-                    fresh = np.ones(len(u), bool)
-                    fresh[1:] = (u[1:] != u[:-1]) | (shard[1:] != shard[:-1])
-                    wide = spread[np.cumsum(fresh) - 1].astype(np.int64)
-                    # of a context dealt over the shards each answers for its part alone
-                    dealt = _hot(c, shards, n)
-                    i = np.searchsorted(hot, u[dealt])
-                    there = i < len(hot)
-                    there[there] = hot[i[there]] == u[dealt][there]
-                    wide[dealt] = 0
-                    wide[np.flatnonzero(dealt)[there]] = hot_wide[i[there]]
-                    context_count = x.count[x.at - 1]
-                    share = s.discount * wide[which] / np.maximum(context_count, 1)
-                    p[x.at] = dequantise(code[which]) + np.minimum(share, 1.0) * low[x.at]
-                sums = [np.add.reduceat(a, x.before[:-1]) for a in (base, np.log10(p), (x.count > 0).astype(np.int64))]
-                ids = np.frombuffer(r["ids"], np.int64)
-                known = np.frombuffer(r["known"], bool)
-                cols = [pa.array(ids, pa.int64(), mask=~known), pa.array(x.out), pa.array(x.per), pa.array(sums[2]), pa.array(np.full(len(ids), n)), pa.array(sums[0]), pa.array(sums[1])]
+                    p2[there] = dequantise(got)[of] * np.minimum(1.0, hot.words_seen[often[x.v[there]]] / np.maximum(count[x.v[there]], 1))
+                low = unigram(count, t.n, t.v, s)
+                p = low[x.tokens]
+                c = np.maximum(count, 1)
+                left = np.where(count > 0, np.minimum(1.0, d2 * nexts / c), 1.0)
+                p[x.middle + 1] = np.minimum(1.0, p3 + share * (p2 + left[x.v] * p[x.middle + 1]))
+                base = np.log10((count + 1) / (t.n + t.v + 1))[x.tokens]
+                sums = [np.add.reduceat(a, x.before[:-1]) for a in (base, np.log10(p), (count > 0).astype(np.int64)[x.tokens])]
+                ids, known = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["known"], bool)
+                cols = [pa.array(ids, pa.int64(), mask=~known), pa.array(x.out), pa.array(x.per), pa.array(sums[2]), pa.array(np.full(len(ids), t.n)), pa.array(sums[0]), pa.array(sums[1])]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return run
@@ -312,8 +488,7 @@ def score(docs: DataFrame, held_out: Column, s: Settings = Settings(), text: str
 
     The model learns from all rows that ``held_out`` does not mark, and scores all.
     """
-    scored, _ = _score(docs, held_out, s, text, doc_id, False)
-    return scored
+    return _score(docs, held_out, s, text, doc_id, False)[0]
 
 
 def train_and_score(docs: DataFrame, held_out: Column, s: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> tuple[DataFrame, DataFrame]:
@@ -321,30 +496,44 @@ def train_and_score(docs: DataFrame, held_out: Column, s: Settings = Settings(),
     return _score(docs, held_out, s, text, doc_id, True)
 
 
+def _hot_sums(spark: SparkSession, answers: DataFrame, kind: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts and numbers of successors of the ``n`` hot words or pairs, over all shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(r[c], r["n"], np.int64)) for c in ("codes", "counts", "nexts")], names=["i", "c", "k"])
+
+    count, nexts = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    if n:
+        parts = answers.where(F.col("block") == kind).select("n", "codes", "counts", "nexts").mapInArrow(run, "i long, c long, k long")
+        for r in parts.groupBy("i").agg(F.sum("c").alias("c"), F.sum("k").alias("k")).collect():  # n rows at most
+            count[r["i"]], nexts[r["i"]] = r["c"], r["k"]
+    return count, nexts
+
+
 def _score(docs: DataFrame, held_out: Column, s: Settings, text: str, doc_id: str, keep_model: bool) -> tuple[DataFrame, DataFrame | None]:
     spark = docs.sparkSession
     small_batches(spark)
-    shards = 2 * shuffle_parts(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).cast("string").alias("__text"))
-    lists, lists_path, texts, _ = two_tables(spark, _blocks(rows, s, shards), F.col("shard") >= 0)
-    release(spark)
-    texts = texts.select("block", "n", "ids", "known", "held", "n_docs", "per_doc", "n_tokens", "tokens")
-    words = lists.select("block", "shard", "n", "words", "counts").groupBy("shard")
-    words, _ = table(spark, words.applyInArrow(_counted, "block long, shard int, n long, total long, ranks binary, counts binary"))
-    drop_table(spark, lists_path)
-    release(spark)
-    r = words.where("block = -1").agg(F.sum("n").alias("v"), F.sum("total").alias("n")).first()
-    n, v = r["n"] or 0, r["v"] or 0
-    by_block = words.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "n", "ranks", "counts")).alias("words"))
-    known = texts.join(by_block, "block")
-    schema = "block long, shard int, n int, n_contexts int, contexts binary, runs binary, totals binary, words binary, train binary"
-    asked = known.mapInArrow(_asked(shards, n), schema).groupBy("shard")
-    answers, _ = table(spark, asked.applyInArrow(_answered(s, keep_model, shards, n), "block long, shard int, n int, n_contexts int, codes binary, spread binary"))
-    release(spark)
-    sums = answers.where("block = -2").select("n_contexts", "codes", "spread").mapInArrow(_hot_parts, "context long, successors long")
-    hot = sorted(tuple(r) for r in sums.groupBy("context").agg(F.sum("successors")).collect())  # fewer than 4 * shards
-    hot, hot_wide = np.array(hot, np.int64).reshape(-1, 2).T
-    back = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "n", "n_contexts", "codes", "spread")).alias("pairs"))
+    rows = docs.select(q(doc_id).cast("long").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), q(text).cast("string").alias("__text"))
+    texts, _ = table(spark, _blocks(rows, s))
+    small_batches(spark, 8)  # blocks of some MB
+    sums = texts.agg(F.count("*").alias("blocks"), F.sum("n_tokens").alias("tokens"), F.sum("n_train").alias("n"), F.sum("n_train_docs").alias("ends")).first()
+    n, ends, tokens = sums["n"] or 0, sums["ends"] or 0, sums["tokens"] or 0
+    shards = int(max(2 * shuffle_parts(spark), -(-tokens // s.shard_tokens)))
+    hot = _hot(texts, tokens, n, sums["blocks"], shards, s)
+    answers = None
+    for part in range(s.rounds):
+        asked = texts.mapInArrow(_asked(hot, shards, part, s.rounds), ASKED).groupBy("shard")
+        got, _ = table(spark, asked.applyInArrow(_answered(hot, n, s, keep_model), ANSWERED))
+        answers = got if answers is None else answers.union(got)
+        release(spark)
+    v = (answers.where(F.col("block") == WORDS).agg(F.sum("n").alias("v")).first()["v"] or 0) + (ends > 0)
+    words, pairs = _hot_sums(spark, answers, HOT_WORDS, len(hot.words)), _hot_sums(spark, answers, HOT_PAIRS, len(hot.pairs))
+    totals = Totals(n, v + int((words[0] > 0).sum()), ends, *words, *pairs)
+    by_block = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "kind", "n", "n_v", "codes", "more", "shares", "counts", "nexts")).alias("answers"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = known.join(back, "block", "left").mapInArrow(_scored(s, shards, n, v, hot, hot_wide), schema)
-    return scored, answers.where("block = -1").select("shard", F.col("codes").alias("trie")) if keep_model else None
+    scored = texts.join(by_block, "block", "left").mapInArrow(_scored(hot, shards, totals, s), schema)
+    if not keep_model:
+        return scored, None
+    return scored, answers.where(F.col("block") == MODEL).select("shard", F.col("codes").alias("trie"))

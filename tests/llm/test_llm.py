@@ -1,16 +1,14 @@
 """The ten operators against brute force, on small tables with nulls, empties, ties and repeats."""
 
 import hashlib
-import math
 import random
 import re
-import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from chronoweave.llm import bpe, chat, langid, lm, mixing, neardup, quality, suffixdedup, topk, toxicity
+from chronoweave.llm import bpe, chat, langid, mixing, neardup, quality, suffixdedup, topk, toxicity
 from chronoweave.llm.eliasfano import EliasFano, Trie
 from chronoweave.llm.suffixarray import suffix_array
 
@@ -127,104 +125,28 @@ def test_elias_fano():
         at, exact = e.successor(x)
         assert (at == np.searchsorted(v, x)).all()
         assert (exact == np.isin(x, v)).all()
-    p = np.unique(rng.integers(0, 200, (3000, 2)), axis=0)
-    code = rng.integers(1, 255, len(p))
-    t = Trie.mapped(Trie.build(p[:, 0], p[:, 1], code).to_bytes())
-    q = np.array([(a, b) for a in range(0, 210, 3) for b in range(0, 210, 2)])
-    rank, lo, hi = t.ranges(q[:, 0])
-    known = {tuple(k): c for k, c in zip(p.tolist(), code, strict=True)}
-    assert t.lookup(rank, lo, hi, q[:, 1]).tolist() == [known.get(tuple(k), 0) for k in q.tolist()]
-
-
-def test_lm(spark, docs, texts, empty):
-    from chronoweave.llm.common import fold
-    from pyspark.sql import functions as F
-
-    got = lm.score(docs.repartition(3), fold(F.col("doc_id"), 7) == 2).toPandas().set_index("doc_id")
-    tokens = {i: [*WORD.findall(lower(t or "")), None] for i, t in enumerate(texts)}
-    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    c, b = Counter(), Counter()
-    for i, w in tokens.items():
-        if not held[i]:
-            c.update(w)
-            b.update(zip(w, w[1:], strict=False))
-    n, v, wide = sum(c.values()), len(c), Counter(u for u, _ in b)
-    for i, w in tokens.items():
-        r = got.loc[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(c[x] > 0 for x in w), n)
-        assert r.base_score == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w))
-        total = 0.0
-        for k, x in enumerate(w):
-            p = (c[x] - 0.75) / n if c[x] else 0.75 * v / n
-            if k and c[w[k - 1]] and c[x]:
-                u = w[k - 1]
-                p = max(0, b[u, x] - 0.75) / c[u] + min(1, 0.75 * wide[u] / c[u]) * p
-            total += math.log10(p)
-        assert r.score == pytest.approx(total, abs=0.04 * len(w))
-        assert r.score <= total + 1e-9
-    assert lm.score(empty, F.lit(False)).count() == 0
-    assert lm.train_and_score(docs, F.lit(False))[1].count() > 0
-
-
-def _lm_brute(tokens, held):
-    """Unquantised scores, the discounted mass of every known context going to the unigram level."""
-    c, b = Counter(), Counter()
-    for i, w in tokens.items():
-        if not held(i):
-            c.update(w)
-            b.update(zip(w, w[1:], strict=False))
-    n, v, wide = sum(c.values()), len(c), Counter(u for u, _ in b)
-    out = {}
-    for i, w in tokens.items():
-        out[i] = 0.0
-        for k, x in enumerate(w):
-            p = (c[x] - 0.75) / n if c[x] else 0.75 * v / n
-            if k and c[w[k - 1]]:
-                u = w[k - 1]
-                p = max(0, b[u, x] - 0.75) / c[u] + min(1, 0.75 * wide[u] / c[u]) * p
-            out[i] += math.log10(p)
-    return out
-
-
-def test_lm_hot_context_over_many_shards(spark):
-    """A block that asks few shards for a hot context still backs off by all its successors."""
-    from pyspark.sql import functions as F
-
-    rng = random.Random(8)
-    rows = [(i, " ".join(f"the w{rng.randrange(400)}" for _ in range(30))) for i in range(60)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    old = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "16")
-    try:
-        one = lm.score(table.coalesce(1), F.lit(False)).toPandas().set_index("doc_id").score
-        many = lm.score(table.repartition(20), F.lit(False)).toPandas().set_index("doc_id").score
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", old)
-    want = _lm_brute({i: [*t.split(), None] for i, t in rows}, lambda i: False)
-    for i, t in rows:
-        assert one[i] == pytest.approx(many[i], abs=1e-9)
-        assert want[i] - 0.04 * 61 <= many[i] <= want[i] + 1e-9
-
-
-def test_lm_context_sums_to_one_at_most(spark):
-    """After every context, all known words and the unknown ones share a mass of at most 1."""
-    from pyspark.sql import functions as F
-
-    words = ["a", "b", "c", "d"]
-    train = ["a b", "a c", "a b a d", "b c d", "c a", "d d b", "a a"]
-    rows = [*enumerate(train), *((100 + i, w) for i, w in enumerate([*words, *(f"{u} {x}" for u in words for x in [*words, "zzz"])]))]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    got = lm.score(table, F.col("doc_id") >= 100).toPandas().set_index("doc_id").score
-    want = _lm_brute({i: [*t.split(), None] for i, t in rows}, lambda i: i >= 100)
-    for i, t in rows:
-        assert want[i] - 0.04 * (len(t.split()) + 1) <= got[i] <= want[i] + 1e-9
-    c = Counter(x for t in train for x in [*t.split(), None])
-    plain = {x: math.log10((c[x] - 0.75) / sum(c.values())) for x in c}
-    score = {t: got[i] for i, t in rows if i >= 100}
-    end = {u: score[u] - plain[u] for u in words} | {"zzz": plain[None]}
-    for u in words:
-        after = [10 ** (score[f"{u} {x}"] - plain[u] - end[x]) for x in end]
-        assert 10 ** end[u] + sum(after) <= 1 + 1e-9
+    words = np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64))
+    three = np.unique(rng.integers(0, [60, 20, 40], (4000, 3)), axis=0)
+    three = three[three[:, 0] < len(words)]
+    two = np.unique(three[:, [0, 2]], axis=0)
+    code2, code3 = rng.integers(1, 255, len(two)), rng.integers(1, 255, len(three))
+    near = np.unique(rng.integers(0, 2**40, 100, dtype=np.uint64))
+    share = (three[:, 0] * 7 + three[:, 1]) % 250
+    t = Trie.mapped(Trie.build(words, np.arange(len(words)), (two[:, 0], near[two[:, 1]], code2), (three[:, 0], near[three[:, 1]], near[three[:, 2]], code3, share)).to_bytes())
+    assert (t.codes1 == np.arange(len(words))).all()
+    known2 = {tuple(k): c for k, c in zip(two.tolist(), code2, strict=True)}
+    known3 = {tuple(k): c for k, c in zip(three.tolist(), code3, strict=True)}
+    known_pair = {(v, u) for v, u, _ in known3}
+    for sparse in (1, 40):
+        ask = np.array([(v, u, w) for v in range(len(words)) for u in range(22) for w in range(42)])[::sparse]
+        at, there = t.find(np.append(words[ask[:, 0]], np.uint64(5)))
+        assert there[:-1].all()
+        assert not there[-1]
+        c2, place = t.pairs(at[:-1], there[:-1], near[ask[:, 2]])
+        c3, s3 = t.triples(at[:-1], there[:-1], near[ask[:, 1]], place)
+        assert c2.tolist() == [known2.get((v, w), 0) for v, _, w in ask.tolist()]
+        assert c3.tolist() == [known3.get((v, u, w), 0) for v, u, w in ask.tolist()]
+        assert s3.tolist() == [(v * 7 + u) % 250 if (v, u) in known_pair else 255 for v, u, _ in ask.tolist()]
 
 
 def test_toxicity(spark, docs, empty):
