@@ -48,6 +48,8 @@ from . import textnp
 from .common import drop_table, q, release, small_batches, table
 
 U64 = np.uint64
+#: Tasks over which the classes of one component are dealt where they meet its name.
+SALTS = 32
 
 
 @dataclass(frozen=True)
@@ -410,7 +412,10 @@ def _grouped(docs: DataFrame, s: Settings, text: str, key: str, carry: bool) ->
     linked = groups.select(F.col("node").alias("cls"), "component")
     linked = linked.union(linked.select(F.col("component").alias("cls"), "component").distinct())
     names = linked.join(classes.select("cls", "least"), "cls").groupBy("component").agg(F.min("least").alias("name"))
-    of = classes.select("digest", "cls", "least").join(linked, "cls", "left").join(names, "component", "left")
+    # a component may hold a third of all classes: it is dealt over several tasks
+    salted = names.select("component", "name", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    of = classes.select("digest", "cls", "least").join(linked, "cls", "left").withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
+    of = of.join(salted, ["component", "salt"], "left")
     return sigs, of.select("digest", F.coalesce("name", "least").alias("name")), done
 
 
