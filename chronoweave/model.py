@@ -41,6 +41,8 @@ class Source:
     format: str | None = None
     delimiter: str = ","
     timestamp_format: str | None = None
+    #: Column types of a CSV, as a Spark schema; inferred by a scan of its own if not given.
+    schema: Any = None
 
     def __post_init__(self) -> None:
         if (self.path is None) == (self.df is None):
@@ -63,12 +65,12 @@ class Source:
         if self.df is not None:
             return readers.rows(spark, self.df)
         if self.format == "csv":
-            return readers.csv(spark, str(self.path), self.delimiter, self.timestamp_format)
+            return readers.csv(spark, str(self.path), self.delimiter, self.timestamp_format, self.schema)
         return readers.parquet(spark, str(self.path))
 
     def definition(self) -> dict[str, Any]:
         """What identifies the source, for caches; data given as rows cannot be identified."""
-        return {"kind": type(self).__name__, "path": None if self.path is None else str(self.path), "keys": list(self.keys), "timestamp": self.timestamp, "format": self.format, "delimiter": self.delimiter, "timestamp_format": self.timestamp_format}
+        return {"kind": type(self).__name__, "path": None if self.path is None else str(self.path), "keys": list(self.keys), "timestamp": self.timestamp, "format": self.format, "delimiter": self.delimiter, "timestamp_format": self.timestamp_format, "schema": None if self.schema is None else str(self.schema)}
 
 
 def ParquetSource(path: str | Path, keys: str | Sequence[str], timestamp: str, name: str | None = None) -> Source:  # noqa: N802
@@ -96,7 +98,7 @@ class SQLSource:
             raise ConfigError("A SQL source needs a query, a name and a timestamp column.")
 
     def load(self, spark: SparkSession) -> DataFrame:
-        return readers.sql(spark, self.query, self.views)
+        return readers.sql(spark, self.query, self.views, self.timestamp)
 
     def definition(self) -> dict[str, Any]:
         return {"kind": "SQLSource", "query": self.query, "keys": list(self.keys), "timestamp": self.timestamp}

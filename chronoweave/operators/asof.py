@@ -23,12 +23,16 @@ from ..functions.durations import interval, microseconds
 
 @dataclass(frozen=True)
 class Branch:
-    """A feature's rows: label-named ``keys``, ``feature_time`` and ``columns``."""
+    """A feature's rows: label-named ``keys``, ``feature_time`` and ``columns``.
+
+    ``unique``: no two rows have the same key and time, so no tie is to be settled.
+    """
 
     name: str
     rows: DataFrame
     columns: tuple[str, ...]
     embargo: timedelta = timedelta(0)
+    unique: bool = False
 
 
 def q(name: str) -> Column:
@@ -54,6 +58,21 @@ def _common_key_type(key: str, a: DataType, b: DataType) -> DataType:
     return a
 
 
+def common_key_types(labels: DataFrame, keys: Sequence[str], branches: Sequence[Branch]) -> dict[str, DataType]:
+    """The type in which each key is compared."""
+    types = {f.name: f.dataType for f in labels.schema}
+    for b in branches:
+        kinds = {f.name: f.dataType for f in b.rows.schema}
+        for k in keys:
+            types[k] = _common_key_type(k, types[k], kinds[k])
+    return types
+
+
+def orderable(kind: DataType) -> bool:
+    """Can values of the type be sorted? Those that hold maps or variants cannot."""
+    return not any(x in kind.simpleString() for x in ("map<", "variant", "interval"))
+
+
 def as_of(
     labels: DataFrame,
     keys: Sequence[str],
@@ -76,11 +95,7 @@ def as_of(
     label_cols = labels.columns
     names = {c: f"__l{i}" for i, c in enumerate(label_cols)}
     label_types = {f.name: f.dataType for f in labels.schema}
-    key_types = dict(label_types)
-    for b in branches:
-        kinds = {f.name: f.dataType for f in b.rows.schema}
-        for k in keys:
-            key_types[k] = _common_key_type(k, key_types[k], kinds[k])
+    key_types = common_key_types(labels, keys, branches)
     at = [f"__k{i}" for i in range(len(keys))]
 
     spine = labels.select(
@@ -101,11 +116,12 @@ def as_of(
         )
         union = union.unionByName(side, allowMissingColumns=True)
 
-    # a tie in time is settled by the payload's text: any total order will do,
-    # as long as it does not depend on the plan
-    order = ["__t", "__side", F.coalesce(*[F.to_json(F.col(p)) for p in payloads])]
+    # a tie in time is settled by the payload itself, or where it has no order by
+    # its text: by nothing that depends on the plan
+    ties = {p: F.col(p) if all(orderable(b.rows.schema[c].dataType) for c in b.columns) else F.to_json(p) for b, p in zip(branches, payloads, strict=True) if not b.unique}
+    order = ["__t", "__side", *ties.values()]
     if skew_bucket:
-        found = _bucketed(union, at, order, payloads, skew_bucket)
+        found = _bucketed(union, at, order, payloads, ties, skew_bucket)
     else:
         axis = Window.partitionBy(*at).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         found = union.select("*", *[F.last(p, ignorenulls=True).over(axis).alias(f"{p}_at") for p in payloads])
@@ -125,13 +141,13 @@ def as_of(
     return found.select(*out)
 
 
-def _bucketed(union: DataFrame, at: list[str], order: list, payloads: list[str], width: timedelta) -> DataFrame:
+def _bucketed(union: DataFrame, at: list[str], order: list, payloads: list[str], ties: dict[str, Column], width: timedelta) -> DataFrame:
     """The same in two steps: newest row within the bucket, else the newest of the buckets before."""
     us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("__t").cast("timestamp_ntz"))
     cut = union.withColumn("__b", F.floor(us / microseconds(width)))
     inside = Window.partitionBy(*at, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     near = cut.select("*", *[F.last(p, ignorenulls=True).over(inside).alias(f"{p}_in") for p in payloads]).where("__label is not null")
-    newest = [F.max_by(p, F.when(F.col(p).isNotNull(), F.struct("__t", F.to_json(p)))).alias(p) for p in payloads]
+    newest = [F.max_by(p, F.when(F.col(p).isNotNull(), F.struct("__t", *([ties[p]] if p in ties else [])))).alias(p) for p in payloads]
     per_bucket = cut.groupBy(*at, "__b").agg(*newest)
     earlier = Window.partitionBy(*at).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_bucket.select(*[F.col(a).alias(f"{a}_c") for a in at], F.col("__b").alias("__b_c"), *[F.last(p, ignorenulls=True).over(earlier).alias(f"{p}_before") for p in payloads])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import platform
 import time
 import uuid
@@ -20,9 +19,9 @@ from ..errors import ConfigError
 from ..functions.durations import format_duration, interval, parse_duration
 from ..model import Feature, FeatureSet, Labels, flatten
 from ..plans import compute
-from ..store import Store, content_hash, definition_hash
-from . import checks
-from .asof import as_of, joined_names, q, time_name
+from ..store import Store, content_hash, definition_hash, file_size
+from . import checks, planner
+from .asof import joined_names, q, time_name
 from .results import BuildResult, BuildStats
 
 DEFAULT_LOOKBACK = timedelta(days=365)
@@ -87,41 +86,63 @@ def join_features(
     max_staleness: timedelta | None = None,
     inclusive: bool = False,
     spine: DataFrame | None = None,
-    bounds: tuple[Any, Any] | None = None,
+    counts: Any = None,
     store: Store | None = None,
     cached: dict[str, bool] | None = None,
     skew_bucket: timedelta | None = None,
     told: Callable[[str], None] = lambda _: None,
+    limits: planner.Limits = planner.Limits(),
+    check: bool = True,
+    plans: list[str] | None = None,
 ) -> tuple[DataFrame, list[Any]]:
-    """The spine's keys, time and targets with all features' columns and times; and the branches."""
+    """The spine's keys, time and targets with all features' columns and times; and the branches.
+
+    ``counts``: the labels' row of :func:`planner.label_counts`. ``check``: look
+    for duplicates and measure the sources, one job each; without it nothing
+    runs, and features go through the window. ``plans`` is filled with each
+    feature's plan.
+    """
     whole = labels.load(spark) if spine is None else spine
     checks.label_schema(labels, whole)
     spine = whole.select(*[q(c) for c in [*labels.keys, labels.label_time, *labels.target]]) if spine is None else spine
-    sources, branches, checked = compute.Sources(spark), [], set()
+    sources, branches, measured, found = compute.Sources(spark), [], {}, []
     for i, f in enumerate(features, 1):
         told(f"Computing feature {i}/{len(features)}: {f.name}")
         source = sources.load(f)
         checks.source_schema(f, source)
-        if (id(f.source), f.on_duplicate) not in checked:
-            checks.no_duplicates(f, source)
-            checked.add((id(f.source), f.on_duplicate))
-        rows = None
+        size = None
+        if check:
+            if id(f.source) not in measured:
+                r = planner.source_counts(source, f.source.keys, f.source.timestamp).first()
+                measured[id(f.source)] = planner.Measured(r["rows"], r["most"], r["groups"])
+            size = measured[id(f.source)]
+            checks.no_duplicates(f, source, size.duplicate_groups)
         key = store.feature_cache_key(f) if store else None
         if key and store.has_feature_cache(f.name, key):
-            rows = spark.read.parquet(str(store.feature_cache_path(f.name, key)))
+            rows = spark.read.parquet(store.feature_cache_path(f.name, key))
             (cached if cached is not None else {})[f.name] = True
         else:
             rows = compute.feature_rows(spark, f, source)
             if key:
-                path = str(store.feature_cache_path(f.name, key))
+                path = store.feature_cache_path(f.name, key)
                 rows.write.mode("overwrite").parquet(path)
                 rows = spark.read.parquet(path)
         checks.time_zones(f.name, rows.schema[compute.TIME].dataType, spine.schema[labels.label_time].dataType)
-        if bounds:
-            rows = compute.prune(rows, f, *bounds, max_lookback)
-        branches.append(compute.branch(f, rows, labels.keys))
+        if counts:
+            rows = compute.prune(rows, f, counts["first"], counts["last"], max_lookback)
+        branches.append(compute.branch(f, rows, labels.keys, unique=size is not None and not size.duplicate_groups))
+        found.append(size if f.kind == "columns" else None)
     told(f"Joining {len(features)} feature(s)")
-    return as_of(spine, labels.keys, labels.label_time, branches, max_lookback, max_staleness, inclusive, skew_bucket), branches
+    how = [planner.LOOKUP if not skew_bucket and planner.is_small(b, m, limits) else planner.FUSED for b, m in zip(branches, found, strict=True)]
+    if counts and not skew_bucket:
+        rest = [measured.get(id(f.source)) for f, p in zip(features, how, strict=True) if p == planner.FUSED]
+        span = counts["last"] - counts["first"] + max_lookback if counts["n"] and counts["first"] is not None else None
+        skew_bucket = planner.bucket_width(planner.Measured(counts["n"], counts["most"]), rest, span, limits) if rest else None
+    if skew_bucket:
+        how = [planner.BUCKETED if p == planner.FUSED else p for p in how]
+    if plans is not None:
+        plans += how
+    return planner.join(spine, labels.keys, labels.label_time, branches, how, max_lookback, max_staleness, inclusive, skew_bucket), branches
 
 
 def write(df: DataFrame, path: str, single_file: bool = False, order: Sequence[str] = ()) -> str:
@@ -161,11 +182,14 @@ def build(
     single_file: bool = False,
     ordered: bool = False,
     skew_bucket: str | timedelta | None = None,
+    limits: planner.Limits = planner.Limits(),
 ) -> BuildResult:
     """Join every label row to the newest feature rows that were available at its time.
 
     ``output`` becomes a directory of part files, or one file with
-    ``single_file``. Without ``output`` the result's ``df`` is the lazy frame.
+    ``single_file``. Without ``output`` the result's ``df`` is the lazy frame, and
+    the join runs for its statistics and manifest only once these are asked for.
+    How each feature is joined follows from measured counts (:mod:`.planner`).
     """
     spark, began, told = session(spark), time.time(), progress or (lambda _: None)
     flat = flatten(features)
@@ -186,10 +210,11 @@ def build(
     told("Loading labels")
     loaded = labels.load(spark)
     checks.label_schema(labels, loaded)
-    times = label_times(loaded, labels.label_time).first()
+    times = planner.label_counts(loaded, labels.keys, labels.label_time).first()
     parts = checks.splits(splits, times["first"], times["last"]) if splits else {}
     cached: dict[str, bool] = {}
-    joined, branches = join_features(spark, labels, flat, back, stale, inclusive, bounds=(times["first"], times["last"]), store=store, cached=cached, skew_bucket=parse_duration(skew_bucket), told=told)
+    plans: list[str] = []
+    joined, branches = join_features(spark, labels, flat, back, stale, inclusive, counts=times, store=store, cached=cached, skew_bucket=parse_duration(skew_bucket), told=told, limits=limits, plans=plans)
     values = [n for b in branches for n in joined_names(b)]
     if on_missing == "skip":
         joined = keep_complete(joined, values)
@@ -197,15 +222,15 @@ def build(
     names = flat_names(values, [f.name for f in flat]) if flatten_columns else {}
     if len({names.get(c, c) for c in shown}) < len(shown):
         names = {}
-    result = joined.select(*[q(c).alias(names.get(c, c)) for c in shown])
-    many_uses = output is not None
-    if many_uses:
+    if output is not None:
         joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
-        result = joined.select(*[q(c).alias(names.get(c, c)) for c in shown])
-    told("Verifying")
-    s = statistics(joined, labels.label_time, branches, inclusive).first()
-    n = s["n"]
-    feature_stats = {f.name: {"matched": n - s[f"missing_{i}"], "missing": s[f"missing_{i}"], "violations": s[f"violations_{i}"]} for i, f in enumerate(flat)}
+    result = joined.select(*[q(c).alias(names.get(c, c)) for c in shown])
+
+    def verified() -> dict[str, Any]:
+        told("Verifying")
+        return statistics(joined, labels.label_time, branches, inclusive).first().asDict()
+
+    counts = verified() if output is not None or store is not None else None
     split_paths: dict[str, str] | None = None
     if output is not None:
         told("Writing")
@@ -224,31 +249,35 @@ def build(
 
     text = "\n\n".join(p["sql"] for p in plan_rows(flat, back, stale, inclusive))
     now = datetime.now(UTC)
-    manifest: dict[str, Any] = {
-        "version": VERSION,
-        "build_id": f"{now:%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:6]}",
-        "created_at": now.isoformat(),
-        "duration_seconds": took,
-        "labels": {"path": None if labels.path is None else str(labels.path), "content_hash": content_hash(labels.path), "row_count": times["n"], "time_range": [str(times["first"]), str(times["last"])], "keys": labels.keys, "label_time_column": labels.label_time, "target_columns": labels.target},
-        "features": {
-            f.name: {"definition_hash": definition_hash(f), "source_content_hash": content_hash(getattr(f.source, "path", None)), "embargo": format_duration(f.embargo), "matched_rows": feature_stats[f.name]["matched"], "missing_rows": feature_stats[f.name]["missing"], "output_columns": list(b.columns), "cached": cached.get(f.name, False)}
-            for f, b in zip(flat, branches, strict=True)
-        },
-        "parameters": options,
-        "output": {"path": None if output is None else str(output), "content_hash": content_hash(output), "row_count": n, "column_count": len(shown), "file_size_bytes": _size(output)},
-        "audit": {"passed": all(x["violations"] == 0 for x in feature_stats.values()), "invariant": f"feature_time {'<=' if inclusive else '<'} label_time - embargo", "rows_checked": n},
-        "environment": {"python_version": platform.python_version(), "spark_version": pyspark.__version__, "os": platform.platform()},
-        "splits": split_paths,
-        "sql": text,
-    }
+
+    def report() -> tuple[BuildStats, dict[str, Any]]:
+        s = counts or verified()
+        n = s["n"]
+        per = {f.name: {"matched": n - s[f"missing_{i}"], "missing": s[f"missing_{i}"], "violations": s[f"violations_{i}"]} for i, f in enumerate(flat)}
+        # The names of a manifest's entries.
+        manifest: dict[str, Any] = {
+            "version": VERSION,
+            "build_id": f"{now:%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:6]}",
+            "created_at": now.isoformat(),
+            "duration_seconds": took,
+            "labels": {"path": None if labels.path is None else str(labels.path), "content_hash": content_hash(labels.path), "row_count": times["n"], "time_range": [str(times["first"]), str(times["last"])], "keys": labels.keys, "label_time_column": labels.label_time, "target_columns": labels.target},
+            "features": {
+                f.name: {"definition_hash": definition_hash(f), "source_content_hash": content_hash(getattr(f.source, "path", None)), "embargo": format_duration(f.embargo), "matched_rows": per[f.name]["matched"], "missing_rows": per[f.name]["missing"], "output_columns": list(b.columns), "cached": cached.get(f.name, False), "plan": p}
+                for f, b, p in zip(flat, branches, plans, strict=True)
+            },
+            "parameters": options,
+            "output": {"path": None if output is None else str(output), "content_hash": content_hash(output), "row_count": n, "column_count": len(shown), "file_size_bytes": file_size(output)},
+            "audit": {"passed": all(x["violations"] == 0 for x in per.values()), "invariant": f"feature_time {'<=' if inclusive else '<'} label_time - embargo", "rows_checked": n},
+            "environment": {"python_version": platform.python_version(), "spark_version": pyspark.__version__, "os": platform.platform()},
+            "splits": split_paths,
+            "sql": text,
+        }
+        return BuildStats(n, len(shown), per, took), manifest
+
+    if counts is None:
+        return BuildResult(None, None, None, None, text, result, report)
+    stats, manifest = report()
     if store is not None:
         manifest["build_cache_key"] = key
         manifest["manifest_path"] = str(store.save_build(manifest))
-    return BuildResult(None if output is None else str(output), manifest, BuildStats(n, len(shown), feature_stats, took), split_paths, text, result)
-
-
-def _size(path: str | Path | None) -> int | None:
-    if path is None or not os.path.exists(path):
-        return None
-    p = Path(path)
-    return p.stat().st_size if p.is_file() else sum(x.stat().st_size for x in p.rglob("*.parquet"))
+    return BuildResult(None if output is None else str(output), manifest, stats, split_paths, text, result)

@@ -56,14 +56,14 @@ def duplicate_examples(source: DataFrame, keys: Sequence[str], timestamp: str, n
     return duplicate_groups(source, keys, timestamp).orderBy(F.desc("n_rows"), *[q(c) for c in [*keys, timestamp]]).limit(n)
 
 
-def no_duplicates(feature: Feature, source: DataFrame) -> None:
-    if feature.on_duplicate != "error":
-        return
+def no_duplicates(feature: Feature, source: DataFrame, groups: int) -> None:
+    """``groups`` of rows with equal key and time: an error, or with ``keep_any`` a warning."""
     s = feature.source
-    worst = duplicate_examples(source, s.keys, s.timestamp).collect()
-    if worst:
-        n = duplicate_groups(source, s.keys, s.timestamp).count()
-        raise duplicates(s.name, n, s.keys, s.timestamp, [str(r.asDict()) for r in worst])
+    if groups and feature.on_duplicate == "keep_any":
+        warnings.warn(f"Source {s.name!r} has {groups} group(s) of rows with equal ({', '.join([*s.keys, s.timestamp])}); feature {feature.name!r} takes the greatest row of each.", stacklevel=3)
+    elif groups:
+        worst = duplicate_examples(source, s.keys, s.timestamp).collect()
+        raise duplicates(s.name, groups, s.keys, s.timestamp, [str(r.asDict()) for r in worst])
 
 
 def parameters(features: Sequence[Feature], max_lookback: timedelta, max_staleness: timedelta | None, join: str, on_missing: str) -> None:

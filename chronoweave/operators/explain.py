@@ -10,13 +10,13 @@ from pyspark.sql import SparkSession
 
 from ..functions.durations import format_duration, parse_duration
 from ..model import Feature, FeatureSet, Labels, flatten
-from . import checks
+from . import checks, planner
 from .results import ExplainResult
 
 
-def plan_rows(features: Sequence[Feature], back: timedelta, stale: timedelta | None, inclusive: bool) -> list[dict[str, Any]]:
+def plan_rows(features: Sequence[Feature], back: timedelta, stale: timedelta | None, inclusive: bool, plans: Sequence[str] | None = None) -> list[dict[str, Any]]:
     out = []
-    for f in features:
+    for i, f in enumerate(features):
         op, close = ("<=", "]") if inclusive else ("<", ")")
         minus = f" - INTERVAL '{format_duration(f.embargo)}'" if f.embargo else ""
         limit = back if stale is None else min(back, stale)
@@ -32,7 +32,7 @@ def plan_rows(features: Sequence[Feature], back: timedelta, stale: timedelta | N
         out.append({
             "name": f.name, "source": source, "join_condition": f"{keys} and feature_time {op} label_time{minus}",
             "window": f"[label_time - {format_duration(limit)}, label_time{' - ' + format_duration(f.embargo) if f.embargo else ''}{close}",
-            "embargo_str": format_duration(f.embargo) if f.embargo else "none", "strategy": "fused", "sql": sql,
+            "embargo_str": format_duration(f.embargo) if f.embargo else "none", "strategy": plans[i] if plans else "by measured counts", "sql": sql,
         })
     return out
 
@@ -44,13 +44,22 @@ def explain(
     max_lookback: str | timedelta | None = "365d",
     max_staleness: str | timedelta | None = None,
     join: str = "strict",
+    measure: bool = False,
+    limits: planner.Limits = planner.Limits(),
     spark: SparkSession | None = None,
 ) -> ExplainResult:
+    """The plan; only the labels are counted.
+
+    ``measure``: also measure the sources as a build does, one job each, and
+    name the plan that it would choose.
+    """
     from .build import join_features, lookback, session
 
     spark, flat = session(spark), flatten(features)
     back, stale = lookback(max_lookback), parse_duration(max_staleness)
     checks.parameters(flat, back, stale, join, "null")
-    joined, _ = join_features(spark, labels, [f for f in flat], back, stale, join == "inclusive")
+    counts = planner.label_counts(labels.load(spark), labels.keys, labels.label_time).first()
+    plans: list[str] = []
+    joined, _ = join_features(spark, labels, flat, back, stale, join == "inclusive", counts=counts if measure else None, limits=limits, check=measure, plans=plans)
     plan = joined._jdf.queryExecution().explainString(joined._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
-    return ExplainResult(plan_rows(flat, back, stale, join == "inclusive"), labels.load(spark).count(), plan)
+    return ExplainResult(plan_rows(flat, back, stale, join == "inclusive", plans if measure else None), counts["n"], plan)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import timedelta
 from pathlib import Path
@@ -51,14 +52,35 @@ class BuildStats:
     duration_seconds: float = 0.0
 
 
-@dataclass
 class BuildResult:
-    output_path: str | None
-    manifest: dict[str, Any]
-    stats: BuildStats
-    splits: dict[str, str] | None = None
-    sql: str = ""
-    df: DataFrame | None = None
+    """Where a build went and what it found; of a lazy build, found out once it is asked for."""
+
+    def __init__(
+        self,
+        output_path: str | None,
+        manifest: dict[str, Any] | None,
+        stats: BuildStats | None,
+        splits: dict[str, str] | None = None,
+        sql: str = "",
+        df: DataFrame | None = None,
+        report: Callable[[], tuple[BuildStats, dict[str, Any]]] | None = None,
+    ):
+        self.output_path, self.splits, self.sql, self.df = output_path, splits, sql, df
+        self._stats, self._manifest, self._report = stats, manifest, report
+
+    def _found(self) -> None:
+        if self._stats is None and self._report is not None:
+            self._stats, self._manifest = self._report()
+
+    @property
+    def stats(self) -> BuildStats:
+        self._found()
+        return self._stats
+
+    @property
+    def manifest(self) -> dict[str, Any]:
+        self._found()
+        return self._manifest
 
     def validate(self) -> bool:
         return bool(self.manifest.get("audit", {}).get("passed", False))
@@ -80,6 +102,7 @@ class BuildResult:
         return _table(f"Build of {self.stats.row_count} rows", ["feature", "matched", "missing"], self._rows())
 
 
+# The field names of the results, as their JSON forms have them.
 @dataclass
 class FeatureAuditDetail:
     name: str

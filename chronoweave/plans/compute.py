@@ -12,6 +12,7 @@ from ..errors import ConfigError, missing_columns
 from ..model import Feature
 from ..operators.asof import Branch, q
 from ..operators.checks import need_columns, source_schema
+from ..sources.readers import zoneless
 
 TIME = "feature_time"
 
@@ -50,14 +51,14 @@ def feature_rows(spark: SparkSession, feature: Feature, source: DataFrame) -> Da
     else:
         rows = feature.transform(spark, source)
     need_columns(f"The result of feature {feature.name!r}", rows, [*s.keys, TIME])
-    return rows
+    return zoneless(rows, TIME) if feature.kind == "sql" else rows
 
 
 def output_columns(feature: Feature, rows: DataFrame) -> list[str]:
     return [c for c in rows.columns if c != TIME and c not in feature.source.keys]
 
 
-def branch(feature: Feature, rows: DataFrame, label_keys: list[str]) -> Branch:
+def branch(feature: Feature, rows: DataFrame, label_keys: list[str], unique: bool = False) -> Branch:
     """The feature's rows under the labels' key names."""
     to_source = {k: feature.key_mapping.get(k, k) for k in label_keys}
     missing = [v for v in to_source.values() if v not in rows.columns]
@@ -68,7 +69,7 @@ def branch(feature: Feature, rows: DataFrame, label_keys: list[str]) -> Branch:
     if clash:
         raise ConfigError(f"Feature {feature.name!r} has a column {clash[0]!r}, which is also a key of the labels. Rename it with columns={{...}}.")
     out = rows.select(*[q(v).alias(k) for k, v in to_source.items()], q(TIME), *[q(c) for c in columns])
-    return Branch(feature.name, out, tuple(columns), feature.embargo)
+    return Branch(feature.name, out, tuple(columns), feature.embargo, unique and feature.kind == "columns" and set(to_source.values()) == set(feature.source.keys))
 
 
 def prune(rows: DataFrame, feature: Feature, first: object, last: object, lookback: timedelta) -> DataFrame:

@@ -1,33 +1,17 @@
-"""A local folder of build manifests and cached feature tables."""
+"""A folder of build manifests and cached feature tables, on any file system that Spark reads."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 from collections.abc import Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
-KEY_LENGTH = 16
-
-
-def _files(path: Path) -> list[Path]:
-    return [path] if path.is_file() else sorted(p for p in path.rglob("*") if p.is_file() and not p.name.startswith(("_", ".")))
-
+from .sources import files
+from .sources.files import content_hash, file_size  # noqa: F401
 
-def content_hash(path: str | Path | None) -> str | None:
-    """SHA-256 of a file, or of a folder's data files whatever their names; None where there is none."""
-    if path is None or not os.path.exists(path):
-        return None
-    each = []
-    for f in _files(Path(path)):
-        h = hashlib.sha256()
-        with f.open("rb") as x:
-            while block := x.read(1 << 20):
-                h.update(block)
-        each.append(h.hexdigest())
-    return each[0] if len(each) == 1 and Path(path).is_file() else hashlib.sha256("".join(sorted(each)).encode()).hexdigest()
+KEY_LENGTH = 16
 
 
 def _digest(what: Any) -> str:
@@ -39,44 +23,38 @@ def definition_hash(feature: Any) -> str:
 
 
 class Store:
-    """Builds under ``builds/<id>/build.json``, feature tables under ``cache/``."""
+    """Builds under ``builds/<id>/build.json``, feature tables under ``cache/``.
+
+    On a cluster the folder must be one that the executors see: they write the
+    feature tables.
+    """
 
     def __init__(self, path: str | Path = ".chronoweave"):
-        self.path = Path(path).resolve()
-        for d in ("builds", "cache"):
-            (self.path / d).mkdir(parents=True, exist_ok=True)
-
-    def save_build(self, manifest: Mapping[str, Any]) -> Path:
-        folder = self.path / "builds" / manifest["build_id"]
-        folder.mkdir(parents=True)
-        target = folder / "build.json"
-        target.write_text(json.dumps(manifest, indent=2, default=str))
-        output = (manifest.get("output") or {}).get("path")
-        if output and os.path.exists(output):
-            (folder / "output").symlink_to(Path(output).resolve())
+        self.path = files.qualified(path)
+
+    def save_build(self, manifest: Mapping[str, Any]) -> str:
+        target = f"{self.path}/builds/{manifest['build_id']}/build.json"
+        files.write_text(target, json.dumps(manifest, indent=2, default=str))
         return target
 
     def list_builds(self) -> list[dict[str, Any]]:
         """All manifests, newest first."""
-        found = [json.loads(p.read_text()) for p in (self.path / "builds").glob("*/build.json")]
+        found = [json.loads(files.read_bytes(f.path)) for f in files.data_files(f"{self.path}/builds") if f.path.endswith("/build.json")]
         return sorted(found, key=lambda m: m["created_at"], reverse=True)
 
     def get_build(self, build_id: str) -> dict[str, Any] | None:
-        p = self.path / "builds" / build_id / "build.json"
-        return json.loads(p.read_text()) if p.exists() else None
+        path = f"{self.path}/builds/{build_id}/build.json"
+        return json.loads(files.read_bytes(path)) if files.exists(path) else None
 
     def cached_content_hash(self, path: str | Path) -> str | None:
         """The content hash, computed again only if sizes or times of the files changed."""
-        if not os.path.exists(path):
+        found = files.data_files(path)
+        if not found:
             return None
-        state = [(str(f), f.stat().st_size, f.stat().st_mtime_ns) for f in _files(Path(path))]
-        memo = self.path / "hashes.json"
-        known = json.loads(memo.read_text()) if memo.exists() else {}
-        key = _digest(state)
-        if key not in known:
-            known[key] = content_hash(path)
-            memo.write_text(json.dumps(known))
-        return known[key]
+        memo = f"{self.path}/hashes/{_digest([(f.path, f.size, f.modified) for f in found])}"
+        if not files.exists(memo):
+            files.write_text(memo, content_hash(path))
+        return files.read_bytes(memo).decode()
 
     def _source_hash(self, source: Any) -> str | None:
         path = getattr(source, "path", None)
@@ -87,11 +65,11 @@ class Store:
         found = self._source_hash(feature.source)
         return None if found is None else _digest([feature.definition(), found])[:KEY_LENGTH]
 
-    def feature_cache_path(self, name: str, key: str) -> Path:
-        return self.path / "cache" / f"{''.join(c if c.isalnum() else '_' for c in name)}__{key}.parquet"
+    def feature_cache_path(self, name: str, key: str) -> str:
+        return f"{self.path}/cache/{''.join(c if c.isalnum() else '_' for c in name)}__{key}.parquet"
 
     def has_feature_cache(self, name: str, key: str) -> bool:
-        return (self.feature_cache_path(name, key) / "_SUCCESS").exists()
+        return files.exists(f"{self.feature_cache_path(name, key)}/_SUCCESS")
 
     def build_cache_key(self, labels: Any, features: Sequence[Any], options: Mapping[str, Any]) -> str | None:
         keys = [self.feature_cache_key(f) for f in features]
@@ -104,6 +82,6 @@ class Store:
         """The newest build of this key whose outputs are all still there."""
         for m in self.list_builds():
             paths = [m["output"]["path"], *(m.get("splits") or {}).values()]
-            if m.get("build_cache_key") == key and all(p and os.path.exists(p) for p in paths):
+            if m.get("build_cache_key") == key and all(p and files.exists(p) for p in paths):
                 return m
         return None
