@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, lm, mixing, mixing_sql, neardup, quality, suffixdedup, topk, toxicity
+from . import bpe, chat, langid, lm, mixing, mixing_sql, neardup, oracles, quality, suffixdedup, topk, toxicity
 from .common import fold, read
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -66,6 +66,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), trusted)
 
 
+def quality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base measures of op10 alone: these have SQL."""
+    return quality.measures(read(spark, sf_dir, "documents")).drop("features")
+
+
 OP7_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
@@ -99,8 +104,8 @@ FROM e GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_chat": op3_chat, "op9_near_duplicates": op9_near_duplicates, "op7_top_k": op7_top_k, "op6_suffix_array": op6_suffix_array, "op4_lm_scores": op4_lm_scores, "op5_toxicity": op5_toxicity, "op8_byte_bpe": op8_byte_bpe, "op10_quality": op10_quality}
+    return {"op1_mixing": op1_mixing, "op2_language": op2_language, "op3_chat": op3_chat, "op9_near_duplicates": op9_near_duplicates, "op7_top_k": op7_top_k, "op6_suffix_array": op6_suffix_array, "op4_lm_scores": op4_lm_scores, "op5_toxicity": op5_toxicity, "op8_byte_bpe": op8_byte_bpe, "op10_quality": op10_quality, "quality_measures": quality_measures}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing_sql.oracle(), "op3_chat": OP3_SQL, "op7_top_k": OP7_SQL}
+    return {"op1_mixing": mixing_sql.oracle(), "op3_chat": OP3_SQL, "op6_suffix_array": oracles.PASSAGES, "op7_top_k": OP7_SQL, "op9_near_duplicates": oracles.NEAR_DUPLICATES, "quality_measures": oracles.QUALITY_MEASURES}
