@@ -311,14 +311,3 @@ def test_quality_rejects_junk_that_passes_the_base_rules(spark):
     assert got.kept[:300].all()
     few = quality.judge(table, table.where("doc_id = 0")).toPandas()
     assert few.kept.all()
-
-
-def test_pipeline(spark, docs, tmp_path):
-    import corpus_pipeline
-
-    docs.withColumnRenamed("size", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([(i, 1, int(i % 9 == 0)) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
-    assert {"doc_id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns)
-    assert got.doc_id.notna().all()
-    assert got.n_tokens.sum() > 0
