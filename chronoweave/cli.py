@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib.util
 import json
 import logging
 import re
@@ -18,22 +19,27 @@ from pyspark.sql.types import DateType, IntegralType, TimestampNTZType, Timestam
 from .errors import ChronoweaveError, ConfigError
 from .model import Feature, FeatureSet, Labels
 from .operators.asof import q
-from .operators.build import VERSION
+from .operators.build import DEFAULT_LOOKBACK, VERSION
 from .sources.readers import resolve
 
 CONFIG = ("chronoweave.yaml", "chronoweave.yml")
 
 
-def distinct_counts(df: DataFrame) -> DataFrame:
-    """column, n_distinct, n_rows of each column; each is counted by its own partial sums."""
-    counts = df.agg(F.count("*").alias("__n"), *[F.count_distinct(q(c)).alias(f"__c{i}") for i, c in enumerate(df.columns)])
+def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """column, n_distinct, n_rows of each column.
+
+    Exact counts shuffle each column's values; ``approximate`` counts by sketches
+    of a fixed size in one pass, within 2 %.
+    """
+    count = (lambda c: F.approx_count_distinct(c, 0.02)) if approximate else F.count_distinct
+    counts = df.agg(F.count("*").alias("__n"), *[count(q(c)).alias(f"__c{i}") for i, c in enumerate(df.columns)])
     cells = [F.struct(F.lit(c).alias("column"), F.col(f"__c{i}").alias("n_distinct"), F.col("__n").alias("n_rows")) for i, c in enumerate(df.columns)]
     return counts.select(F.inline(F.array(*cells)))
 
 
-def inspect_table(df: DataFrame) -> dict[str, Any]:
+def inspect_table(df: DataFrame, approximate: bool = False) -> dict[str, Any]:
     """Types, distinct counts, and which columns look like a key and a timestamp."""
-    found = {r["column"]: r for r in distinct_counts(df).collect()}
+    found = {r["column"]: r for r in distinct_counts(df, approximate).collect()}
     out: dict[str, Any] = {"columns": [], "keys": [], "timestamps": [], "row_count": 0}
     for f in df.schema:
         r = found[f.name]
@@ -121,15 +127,20 @@ def _setting(args: argparse.Namespace, config: dict[str, Any], name: str, defaul
 
 def doctor(folder: Path, spark: SparkSession) -> list[dict[str, Any]]:
     from .operators import checks
+    from .operators.planner import source_counts
 
     out = []
 
     def note(what: str, ok: bool, detail: str = "") -> None:
         out.append({"check": what, "ok": ok, "detail": detail})
 
+    for package in ("pyspark", "pyarrow", "pandas", "yaml"):
+        found = importlib.util.find_spec(package)
+        note(f"package {package}", bool(found), "" if found else "not installed")
     config = load_config(folder)
     note("configuration", bool(config), "" if config else "no readable chronoweave.yaml")
     specs = config.get("features") or []
+    every: list[Feature] = []
     for s in [specs] if isinstance(specs, str) else specs:
         try:
             features = load_features(str(folder / s))
@@ -137,20 +148,28 @@ def doctor(folder: Path, spark: SparkSession) -> list[dict[str, Any]]:
         except Exception as e:
             note(f"features {s}", False, str(e))
             continue
-        names = [f.name for f in features]
-        note(f"names {s}", len(set(names)) == len(names))
+        every += [f for f in features if f not in every]
         for f in features:
             try:
                 rows = f.source.load(spark)
                 checks.source_schema(f, rows)
-                n = checks.duplicate_groups(rows, f.source.keys, f.source.timestamp).count()
+                n = source_counts(rows, f.source.keys, f.source.timestamp).first()["groups"]
                 note(f"source of {f.name}", n == 0 or f.on_duplicate == "keep_any", f"{n} duplicate group(s)" if n else "")
             except Exception as e:
                 note(f"source of {f.name}", False, str(e))
+    if every:
+        try:
+            checks.parameters(every, DEFAULT_LOOKBACK, None, "strict", "null")
+            note("features together", True)
+        except ConfigError as e:
+            note("features together", False, str(e))
     labels = config.get("labels") or {}
     if labels.get("path"):
         try:
-            resolve(spark, labels["path"])
+            df = resolve(spark, labels["path"])
+            keys = labels.get("keys") or []
+            target = labels.get("target") or [c for c in df.columns if c not in keys][:1]
+            checks.label_schema(Labels(df=df, keys=keys, label_time=labels.get("label_time") or "label_time", target=target), df)
             note("labels", True)
         except Exception as e:
             note("labels", False, str(e))
@@ -182,6 +201,7 @@ def parser() -> argparse.ArgumentParser:
 
     c = cmd("inspect")
     c.add_argument("path")
+    c.add_argument("--approximate", action="store_true", help="count distinct values by sketches")
     c = cmd("audit", "features", "keys", "window")
     c.add_argument("data")
     c.add_argument("--html")
@@ -192,6 +212,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--split", action="append", default=[])
     c.add_argument("--dry-run", action="store_true")
     c.add_argument("--flatten", action="store_true")
+    c.add_argument("--store", help="folder of manifests and caches, .chronoweave unless named here or in the configuration")
     cmd("explain", "labels", "features", "keys", "window")
     c = cmd("diff", "keys")
     c.add_argument("old")
@@ -234,9 +255,9 @@ def run(args: argparse.Namespace) -> int:
     if args.command == "quickstart":
         from .quickstart import create
 
-        show(f"Demo in {create(spark, args.name, args.minimal)}", {"path": args.name})
+        show(f"Demo in {create(spark, args.name, args.minimal, args.template)}", {"path": args.name})
     elif args.command == "inspect":
-        got = inspect_table(resolve(spark, args.path))
+        got = inspect_table(resolve(spark, args.path), args.approximate)
         lines = [f"{c['name']:30} {c['type']:16} {c['distinct']:>10} distinct ({c['distinct_pct']:.1%})" for c in got["columns"]]
         show("\n".join([*lines, f"key: {', '.join(got['keys']) or '-'}; time: {', '.join(got['timestamps']) or '-'}"]), got)
     elif args.command == "doctor":
@@ -266,7 +287,7 @@ def run(args: argparse.Namespace) -> int:
             got = explain(labels, features, spark=spark, **window)
             show(got, {"label_count": got.label_count, "plan": got.plan})
         else:
-            got = build(labels, features, args.output, spark=spark, on_missing=_setting(args, config, "on_missing", "null"), splits=dict(map(parse_split, args.split)) or config.get("splits"), store=Store(), flatten_columns=args.flatten, **window)
+            got = build(labels, features, args.output, spark=spark, on_missing=_setting(args, config, "on_missing", "null"), splits=dict(map(parse_split, args.split)) or config.get("splits"), store=Store(_setting(args, config, "store", ".chronoweave")), flatten_columns=args.flatten, **window)
             show(got, got.manifest)
     return 0
 

@@ -63,3 +63,13 @@ def interval(value: timedelta) -> Column:
     return F.make_dt_interval(
         F.lit(value.days), F.lit(value.seconds // 3600), F.lit(value.seconds // 60 % 60), F.lit(f"{seconds}.{value.microseconds:06d}").cast("decimal(18,6)")
     )
+
+
+def days_between(earlier: str | Column, later: str | Column) -> Column:
+    """Midnights from ``earlier`` to ``later``, as a long; negative the other way round."""
+    return F.datediff(later, earlier).cast("long")
+
+
+def day(time: str | Column) -> Column:
+    """The midnight before a time without a zone, which it stays."""
+    return F.to_date(time).cast("timestamp_ntz")

@@ -158,6 +158,12 @@ def _bucketed(union: DataFrame, at: list[str], order: list, payloads: list[str],
     return both.select(*union.columns, *[F.coalesce(f"{p}_in", f"{p}_before").alias(f"{p}_at") for p in payloads])
 
 
+def newest_per_key(rows: DataFrame, keys: Sequence[str], time: str, ties: Sequence[str] = ()) -> DataFrame:
+    """The newest row of each key, of rows tied in time the first by ``ties``."""
+    newest = Window.partitionBy(*[q(k) for k in keys]).orderBy(q(time).desc(), *[q(c) for c in ties])
+    return rows.withColumn("__nth", F.row_number().over(newest)).where("__nth = 1").drop("__nth")
+
+
 def range_join(labels: DataFrame, keys: Sequence[str], label_time: str, branch: Branch, max_lookback: timedelta, max_staleness: timedelta | None = None, inclusive: bool = False) -> DataFrame:
     """The plain plan for one feature: a band join, then the newest row of each label.
 

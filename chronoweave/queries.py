@@ -9,16 +9,18 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.durations import days_between
 from .model import Feature, FeatureSet, Labels, Source, SQLSource
 from .operators import audit as au
 from .operators import build as bu
 from .operators import checks
 from .operators import diff as di
-from .operators.asof import Branch, as_of, q, range_join
+from .operators.asof import Branch, as_of, newest_per_key, range_join
 from .operators.compare import ATOL, RTOL
+from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -418,23 +420,19 @@ def inspect_columns(spark: SparkSession, d: str) -> DataFrame:
 
 @_add("latest_per_key", "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS rn FROM events) WHERE rn = 1")
 def latest_per_key(spark: SparkSession, d: str) -> DataFrame:
-    newest = Window.partitionBy("user_id").orderBy(F.desc("ts"), "event_id")
-    return _t(spark, d, "events").withColumn("rn", F.row_number().over(newest)).where("rn = 1").select("user_id", "event_id", "ts")
+    return newest_per_key(_t(spark, d, "events").select("user_id", "event_id", "ts"), ["user_id"], "ts", ["event_id"])
 
 
 @_add("date_diff_days", "SELECT l_orderkey, l_linenumber, date_diff('day', o_orderdate, l_shipdate) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
 def date_diff_days(spark: SparkSession, d: str) -> DataFrame:
     o, li = _t(spark, d, "orders"), _t(spark, d, "lineitem")
-    return li.join(o, li.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", F.datediff("l_shipdate", "o_orderdate").cast("long").alias("days"))
+    return li.join(o, li.l_orderkey == o.o_orderkey).select("l_orderkey", "l_linenumber", days_between("o_orderdate", "l_shipdate").alias("days"))
 
 
 @_add("build_sink", _SQL["asof_strict"])
 def build_sink(spark: SparkSession, d: str) -> DataFrame:
     """The whole verb with Parquet output in the shared folder, read back."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/chronoweave-out"
-    target = f"{base}/build-{uuid.uuid4().hex}"
+    target = files.scratch(spark, "build")
     f = Feature(_others(spark, d), ["value", "event_type"], name="f")
     return bu.build(_purchases(spark, d), f, target, spark=spark).df
 
@@ -442,10 +440,9 @@ def build_sink(spark: SparkSession, d: str) -> DataFrame:
 @_add("csv_round_trip", "SELECT event_id, user_id, ts, event_type FROM events")
 def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Events through the CSV source, times without a zone kept as such."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/chronoweave-out"
-    target = f"{base}/events-{uuid.uuid4().hex}.csv"
+    target = files.scratch(spark, "events") + ".csv"
     _t(spark, d, "events").select("event_id", "user_id", "ts", "event_type").write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").csv(target)
-    got = Source(path=target, keys="user_id", timestamp="ts").load(spark)
-    return got.select(q("event_id").cast("long").alias("event_id"), q("user_id").cast("long").alias("user_id"), "ts", "event_type")
+    return Source(path=target, keys="user_id", timestamp="ts", schema="event_id long, user_id long, ts timestamp_ntz, event_type string").load(spark)
+
+
+from . import verb_queries  # noqa: E402, F401  registers the queries of the verbs

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
 from pyspark.sql import SparkSession
 
+from ..errors import ConfigError
+
 #: Bytes up to which files whose file system keeps no checksum are read to be hashed.
 READ_TO_HASH = 256 << 20
 
@@ -78,6 +82,23 @@ def delete(path: str | Path) -> None:
     fs.delete(p, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the folder that driver and executors share; deleted when the driver ends.
+
+    The folder is ``spark.checkpoint.dir``; only where none is set and all tasks
+    run in the driver's process it is a temporary one.
+    """
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or (found.get() if found.isDefined() else None)
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ConfigError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share.")
+    base = base or tempfile.mkdtemp(prefix="chronoweave-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, p = _at(path)
+    fs.deleteOnExit(p)
+    return path
+
+
 def _file_hash(f: File, read: bool) -> str:
     """Of the content: the file system's own checksum if it keeps one, else a hash of the bytes, else of size and time."""
     fs, p = _at(f.path)

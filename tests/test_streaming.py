@@ -1,5 +1,10 @@
 from datetime import datetime, timedelta
 
+import pytest
+
+from chronoweave.cli import doctor, load_features
+from chronoweave.errors import ConfigError
+from chronoweave.operators.audit import audit
 from chronoweave.quickstart import create
 from chronoweave.streaming.audit import leaks_by_window, leaky_rows
 
@@ -20,5 +25,13 @@ def test_leaks_on_a_stream(spark, tmp_path):
 
 def test_quickstart(spark, tmp_path):
     folder = create(spark, str(tmp_path / "demo"), minimal=True)
-    assert spark.read.parquet(str(folder / "data/users.parquet")).count() == 3000
-    assert (folder / "features.py").exists()
+    assert spark.read.parquet(str(folder / "data/users.parquet")).count() == 4000
+    features = load_features(str(folder / "features.py:churn"))
+    assert [f.name for f in features] == ["user_country", "user_tier", "rolling_spend", "last_amount"]
+    report = audit(str(folder / "data/train_LEAKY.parquet"), features, keys="user_id", spark=spark)
+    assert report.leaky_features == [f.name for f in features]
+    notes = doctor(folder, spark)
+    assert {n["check"] for n in notes if not n["ok"]} == set()
+    assert {"labels", "features together", "package pyspark", "source of last_amount"} <= {n["check"] for n in notes}
+    with pytest.raises(ConfigError):
+        create(spark, str(tmp_path / "other"), template="fraud")
