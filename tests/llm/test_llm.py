@@ -311,3 +311,13 @@ def test_quality_rejects_junk_that_passes_the_base_rules(spark):
     assert got.kept[:300].all()
     few = quality.judge(table, table.where("doc_id = 0")).toPandas()
     assert few.kept.all()
+
+
+def test_chat_repeated_and_tied_turns_and_a_long_conversation(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (1, None, "system", "s")]
+    rows += [(2, i, ["user", "assistant"][i % 2], f"turn {i} <|im_end|>") for i in range(30_000)]
+    got = {r.conv_id: r for r in chat.read_back(chat.segments(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5))).collect()}
+    assert got[1].turns_sha256 == hashlib.sha256(b"system\ns\nuser\na\nuser\na\nuser\nb\n").hexdigest()
+    assert (got[1].n_turns, got[1].valid, got[2].n_turns, got[2].valid) == (4, False, 30_000, True)
+    said = "".join(f"turn {i} <|im_end|>" for i in range(1, 30_000, 2))
+    assert got[2].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
