@@ -1,34 +1,49 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]: one JSON line, seconds a query.
 
 Each query runs twice, every output column consumed by a noop write; the second
-run counts. Beside the driver's tables the as-of build is timed on the shapes of
-the published baseline with interleaved times (100 K and 1 M labels).
+run counts. Beside the driver's tables the verbs run on the shapes of the
+published baseline (100 K and 1 M labels, 1 and 10 features, two rows a label of
+each): ``build_*`` reads Parquet, checks, joins, verifies and writes Parquet,
+``audit_*`` rebuilds and compares what was built. ``*_published`` have the
+published times (all labels in one day, all features in one day a year before);
+the others spread both over one interleaved year.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import shutil
+import tempfile
 import time
-from datetime import timedelta
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+import chronoweave as cw
 from chronoweave import queries as core
-from chronoweave.operators.asof import Branch, as_of
 
 NAMES = ["asof_strict", "asof_inclusive", "asof_embargo", "asof_multi_feature", "feature_sql_rolling_30d", "audit_temporal", "audit_rebuild_numeric", "diff_numeric", "duplicate_groups", "inspect_columns"]
+SHAPES = ((100_000, 1), (100_000, 10), (1_000_000, 1), (1_000_000, 10))
+LOOKBACK = "366d"
 
 
-def synthetic(spark: SparkSession, labels: int, features: int):
-    """Labels and 2 rows a label of each feature, on labels / 5 keys, over one interleaved year."""
-    n = max(1000, labels // 5)
-    start = F.lit("2023-01-01").cast("timestamp_ntz")
-    at = lambda seed: start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.rand(seed) * 365 * 86400).cast("decimal(18,6)"))
-    spine = spark.range(labels).select((F.col("id") % n).alias("user_id"), at(1).alias("label_time"), (F.col("id") % 2 == 0).alias("y"))
-    rows = [Branch(f"f{i}", spark.range(2 * labels).select((F.col("id") % n).alias("user_id"), at(i + 2).alias("feature_time"), F.rand(i + 99).alias("v")), ("v",)) for i in range(features)]
-    return as_of(spine, ["user_id"], "label_time", rows, timedelta(days=365))
+def written(spark: SparkSession, folder: str, n: int, m: int, published: bool) -> tuple[cw.Labels, list[cw.Feature]]:
+    """Labels and features as Parquet, on n / 5 keys; no two rows of a feature have the same key and time."""
+    keys, us = max(1000, n // 5), 1_000_000
+
+    def table(name: str, rows: int, start: str, days: int, seed: int, value: str) -> str:
+        at = (F.rand(seed) * (days * 86400)).cast("decimal(18,6)")
+        # the row's number in the last digits keeps a key's times apart
+        when = F.lit(start).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.floor(at) + F.floor(F.col("id") / keys) / us).cast("decimal(18,6)"))
+        path = f"{folder}/{name}"
+        spark.range(rows).select((F.col("id") % keys).alias("user_id"), when.alias("at"), F.rand(seed + 50).alias(value)).write.parquet(path)
+        return path
+
+    labels = table("labels", n, "2024-01-01" if published else "2023-01-01", 1 if published else 365, 1, "y")
+    paths = [table(f"f{i}", 2 * n, "2023-01-01", 1 if published else 365, i + 2, "v") for i in range(m)]
+    features = [cw.Feature(cw.Source(p, keys="user_id", timestamp="at", name=f"s{i}"), "v", name=f"f{i}") for i, p in enumerate(paths)]
+    return cw.Labels(labels, keys="user_id", label_time="at", target="y"), features
 
 
 def main() -> None:
@@ -38,14 +53,24 @@ def main() -> None:
         .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    todo = {n: (lambda n=n: core.queries()[n](spark, sf_dir)) for n in NAMES}
-    todo |= {f"build_{k}x{m}": (lambda k=k, m=m: synthetic(spark, k, m)) for k, m in ((100_000, 1), (100_000, 10), (1_000_000, 1), (1_000_000, 10))}
     took = {}
-    for name, make in todo.items():
+
+    def timed(name: str, run) -> None:
         for _ in range(2):
             t = time.time()
-            make().write.format("noop").mode("overwrite").save()
+            run()
             took[name] = round(time.time() - t, 3)
+
+    for name in NAMES:
+        timed(name, lambda name=name: core.queries()[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
+    for published in (False, True):
+        for n, m in SHAPES:
+            folder = tempfile.mkdtemp(prefix="bench-")
+            labels, features = written(spark, folder, n, m, published)
+            shape = f"{n}x{m}" + ("_published" if published else "")
+            timed(f"build_{shape}", lambda: cw.build(labels, features, f"{folder}/out", max_lookback=LOOKBACK, spark=spark))
+            timed(f"audit_{shape}", lambda: cw.audit(f"{folder}/out", features, keys="user_id", label_time="at", max_lookback=LOOKBACK, spark=spark).assert_clean())
+            shutil.rmtree(folder)
     print(json.dumps({"metric": "total_seconds", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": sf_dir.rstrip("/").rsplit("sf", 1)[-1]}))
 
 

@@ -12,7 +12,7 @@ from typing import Any
 
 import pyspark
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
@@ -67,6 +67,10 @@ def split_rows(df: DataFrame, label_time: str, start: datetime, end: datetime) -
 
 def statistics(joined: DataFrame, label_time: str, branches: Sequence[Any], inclusive: bool) -> DataFrame:
     """One row: n, and for feature i missing_i (first column null) and violations_i (invariant broken)."""
+    return joined.agg(*_statistics(label_time, branches, inclusive))
+
+
+def _statistics(label_time: str, branches: Sequence[Any], inclusive: bool) -> list[Column]:
     cells = [F.count("*").alias("n")]
     for i, b in enumerate(branches):
         first = joined_names(b)[0] if b.columns else time_name(b)
@@ -75,7 +79,7 @@ def statistics(joined: DataFrame, label_time: str, branches: Sequence[Any], incl
         late = (ft > bound) if inclusive else (ft >= bound)
         cells.append(F.count_if(q(first).isNull()).alias(f"missing_{i}"))
         cells.append(F.count_if(ft.isNotNull() & late).alias(f"violations_{i}"))
-    return joined.agg(*cells)
+    return cells
 
 
 def join_features(
@@ -222,7 +226,13 @@ def build(
     names = flat_names(values, [f.name for f in flat]) if flatten_columns else {}
     if len({names.get(c, c) for c in shown}) < len(shown):
         names = {}
-    if output is not None:
+    order = [*labels.keys, labels.label_time] if ordered or single_file else []
+    # one unsorted output: its tasks count what they write. A stage before a sort
+    # might run twice and count twice, and splits read the join again
+    seen = Observation() if output is not None and not parts and not order else None
+    if seen is not None:
+        joined = joined.observe(seen, *_statistics(labels.label_time, branches, inclusive))
+    elif output is not None:
         joined = joined.persist(StorageLevel.MEMORY_AND_DISK)
     result = joined.select(*[q(c).alias(names.get(c, c)) for c in shown])
 
@@ -230,11 +240,14 @@ def build(
         told("Verifying")
         return statistics(joined, labels.label_time, branches, inclusive).first().asDict()
 
-    counts = verified() if output is not None or store is not None else None
+    counts = None
+    if seen is not None:
+        told("Verifying")
+    elif output is not None or store is not None:
+        counts = verified()
     split_paths: dict[str, str] | None = None
     if output is not None:
         told("Writing")
-        order = [*labels.keys, labels.label_time] if ordered or single_file else []
         write(result, str(output), single_file, order)
         if parts:
             o = Path(str(output))
@@ -242,7 +255,10 @@ def build(
             for name, (a, b) in parts.items():
                 target = str(o.with_name(f"{o.stem}_{name}{o.suffix}"))
                 split_paths[name] = write(split_rows(result, labels.label_time, a, b), target, single_file, order)
-        joined.unpersist()
+        if seen is None:
+            joined.unpersist()
+        else:
+            counts = seen.get
         result = spark.read.parquet(str(output))
     took = time.time() - began
     from .explain import plan_rows

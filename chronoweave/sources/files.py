@@ -14,7 +14,7 @@ from pyspark.sql import SparkSession
 from ..errors import ConfigError
 
 #: Bytes up to which files whose file system keeps no checksum are read to be hashed.
-READ_TO_HASH = 256 << 20
+READ_TO_HASH = 16 << 20
 
 
 @dataclass(frozen=True)
@@ -93,10 +93,11 @@ def scratch(spark: SparkSession, name: str) -> str:
     if base is None and not spark.sparkContext.master.startswith("local"):
         raise ConfigError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share.")
     base = base or tempfile.mkdtemp(prefix="chronoweave-")
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    fs, p = _at(path)
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, p = _at(folder)
+    fs.mkdirs(p)
     fs.deleteOnExit(p)
-    return path
+    return f"{folder}/{name}"
 
 
 def _file_hash(f: File, read: bool) -> str:
