@@ -53,25 +53,16 @@ def table(spark: SparkSession, df: DataFrame) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: whatever reads the result survives the loss of any
-    executor. Returns the new DataFrame and its path (for :func:`drop_table`).
+    executor. Returns the new DataFrame and its path (for :func:`drop_table`);
+    what is not dropped before goes when the driver ends.
     """
     path = f"{shared_dir(spark)}/chronoweave-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(there)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def two_tables(spark: SparkSession, df: DataFrame, flag: Column) -> tuple[DataFrame, str, DataFrame, str]:
-    """Like :func:`table`, rows by ``flag`` apart: (those of true, their path, the others, their path)."""
-    path = f"{shared_dir(spark)}/chronoweave-{uuid.uuid4().hex}"
-    df.withColumn("__flag", flag.cast("int")).write.partitionBy("__flag").option("compression", "zstd").parquet(path)
-    out: list = []
-    for part in (f"{path}/__flag=1", f"{path}/__flag=0"):
-        there = spark._jvm.org.apache.hadoop.fs.Path(part)
-        found = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there)
-        out += [spark.read.schema(df.schema).parquet(part) if found else spark.createDataFrame([], df.schema), part]
-    return tuple(out)
-
-
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table made by :func:`table` that no live plan reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
