@@ -40,6 +40,14 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def known(columns: Sequence[str]) -> Column:
+    """None of the columns is null."""
+    out = F.lit(True)
+    for c in columns:
+        out = out & q(c).isNotNull()
+    return out
+
+
 def joined_names(branch: Branch) -> list[str]:
     return [f"{branch.name}__{c}" for c in branch.columns]
 
@@ -108,7 +116,7 @@ def as_of(
     payloads = [f"__p{i}" for i in range(len(branches))]
     for b, p in zip(branches, payloads, strict=True):
         own = F.struct(F.col("feature_time").alias("ft"), *[q(c).alias(f"c{i}") for i, c in enumerate(b.columns)])
-        rows = b.rows.where(" and ".join(f"`{k}` is not null" for k in [*keys, "feature_time"]))
+        rows = b.rows.where(known([*keys, "feature_time"]))
         when = F.col("feature_time") + interval(b.embargo) if b.embargo else F.col("feature_time")
         side = rows.select(
             *[q(k).cast(key_types[k]).alias(a) for k, a in zip(keys, at, strict=True)],
@@ -129,13 +137,11 @@ def as_of(
 
     limit = max_lookback if max_staleness is None else min(max_lookback, max_staleness)
     t = F.col("__label")[names[label_time]]
-    known = F.lit(True)
-    for a in at:
-        known = known & F.col(a).isNotNull()
+    keyed = known(at)
     out = [F.col("__label")[names[c]].alias(c) for c in label_cols]
     for b, p in zip(branches, payloads, strict=True):
         got = F.col(f"{p}_at")
-        valid = known & (got["ft"] >= t - interval(limit))
+        valid = keyed & (got["ft"] >= t - interval(limit))
         out += [F.when(valid, got[f"c{i}"]).alias(n) for i, n in enumerate(joined_names(b))]
         out.append(F.when(valid, got["ft"]).alias(time_name(b)))
     return found.select(*out)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.durations import interval
-from .asof import Branch, as_of, common_key_types, joined_names, orderable, q, time_name
+from .asof import Branch, as_of, common_key_types, joined_names, known, orderable, q, time_name
 
 LOOKUP, FUSED, BUCKETED = "lookup", "fused", "bucketed"
 
@@ -86,7 +86,7 @@ def lookup(labels: DataFrame, keys: Sequence[str], label_time: str, branch: Bran
     limit = max_lookback if max_staleness is None else min(max_lookback, max_staleness)
     types = common_key_types(labels, keys, [branch])
     at = [f"__k{i}" for i in range(len(keys))]
-    rows = branch.rows.where(" and ".join(f"`{k}` is not null" for k in [*keys, "feature_time"]))
+    rows = branch.rows.where(known([*keys, "feature_time"]))
     row = F.struct(F.col("feature_time").alias("ft"), *[q(c).alias(f"c{i}") for i, c in enumerate(branch.columns)])
     lists = rows.groupBy(*[q(k).cast(types[k]).alias(a) for k, a in zip(keys, at, strict=True)]).agg(F.sort_array(F.collect_list(row)).alias("__rows"))
     on = F.lit(True)
