@@ -27,7 +27,7 @@ def test_short_sources_come_near_their_targets(spark):
     assert one.taken.tolist() == [12]
 
 
-@pytest.mark.parametrize("sizes", [[1], [1, 1, 1], [1000, 3], [31, 33, 500, 2], [0, 40, 7]])
+@pytest.mark.parametrize("sizes", [[1], [1000, 3, 1], [31, 33, 500, 0]])
 def test_quota_is_met_and_texts_hold_it(spark, sizes):
     rows = [(10 * i + k, " ".join(f"{i}.{k}.{w}" for w in range(n)), f"s{i}") for i, n in enumerate(sizes) for k in range(2)]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -52,7 +52,7 @@ def test_repeated_ids_and_clashing_names(spark):
     assert not {5, 6} & {r[3] for r in got}
 
 
-@pytest.mark.parametrize("n", [1, 40, 3000])
+@pytest.mark.parametrize("n", [1, 3000])
 def test_sql_says_the_same(spark, n):
     import pandas as pd
 
