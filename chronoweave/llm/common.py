@@ -69,6 +69,12 @@ def drop_table(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def own_batches(spark: SparkSession) -> None:
+    """Give the session the batch size back that it had before :func:`small_batches`."""
+    if id(spark) in _own_batch:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(_own_batch.pop(id(spark))))
+
+
 def q(name: str) -> Column:
     """A column by its literal name, dots included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from . import textnp
-from .common import drop_table, q, release, small_batches, table
+from .common import drop_table, own_batches, q, release, small_batches, table
 
 U64 = np.uint64
 #: Tasks over which the classes of one component are dealt where they meet its name.
@@ -407,7 +407,7 @@ def _grouped(docs: DataFrame, s: Settings, text: str, key: str, carry: bool) ->
         done += [members_path, more_path]
     drop_table(spark, sets_path)
     release(spark)
-    small_batches(spark)
+    own_batches(spark)
 
     linked = groups.select(F.col("node").alias("cls"), "component")
     linked = linked.union(linked.select(F.col("component").alias("cls"), "component").distinct())
