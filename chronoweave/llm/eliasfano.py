@@ -28,6 +28,7 @@ class EliasFano:
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray):
         self.n, self.l, self.low, self.high, self.zeros = n, low_bits, low, high, zeros
         self.bytes = high.view(np.uint8)
+        self._places: np.ndarray | None = None  # of all zeros, once many are asked for at a time
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -63,6 +64,10 @@ class EliasFano:
 
     def _select0(self, k: np.ndarray) -> np.ndarray:
         """Position of the k-th zero (from 0) of the high part; past the last, its end."""
+        if self._places is None and len(k) * 8 > len(self.high):
+            self._places = np.flatnonzero(np.unpackbits(self.bytes, bitorder="little") == 0)
+        if self._places is not None:
+            return np.where(k < len(self._places), self._places[np.minimum(k, len(self._places) - 1)], len(self.high) * 64)
         count, place = _byte_tables()
         word = np.searchsorted(self.zeros, k, "right") - 1
         beyond = word >= len(self.high)

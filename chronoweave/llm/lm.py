@@ -16,8 +16,9 @@ Every word of a text but the end token is the middle v of just one triple
 pairs (v, w), the triples and the pairs (u, v) as contexts. Blocks of documents
 travel as rows; a block's distinct triples go, packed, to the shard of v, which
 builds a trie of all counts, memory-mapped from its compact form, and answers
-from it, in the order in which the block asked. This runs in ``rounds`` parts,
-so that the shuffle files of one part are gone before the next begins.
+from it, in the order in which the block asked. Shards are asked, and blocks
+scored, in ``rounds`` parts, so that the shuffle files of one part are gone
+before the next begins.
 
 No word is too frequent for a shard: a hot word's triples are dealt by (v, u),
 those of a hot pair (u, v) by the triple, and a hot word's pairs by the pair,
@@ -45,7 +46,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnp
-from .common import packed, q, release, shuffle_parts, small_batches, table, unpacked
+from .common import drop_table, own_batches, packed, q, release, shuffle_parts, small_batches, table, unpacked
 from .eliasfano import NEAR, Trie, _starts
 
 U64 = np.uint64
@@ -113,7 +114,9 @@ def _blocks(docs: DataFrame, s: Settings) -> DataFrame:
         def block() -> pa.RecordBatch:
             tokens, ids, known, out, per = (np.concatenate(x) for x in zip(*held, strict=True))
             words, local = np.unique(tokens, return_inverse=True)
-            row = (number, len(words), words.tobytes(), len(ids), ids.tobytes(), known.tobytes(), out.tobytes(), per.astype(np.int64).tobytes(), len(tokens), packed(local.astype(np.int32)), int(per[~out].sum()), int((~out).sum()))
+            # sorted hashes: their differences, a plane of bytes at a time, leave the upper planes nearly empty
+            steps = np.diff(words, prepend=U64(0)).view(np.uint8).reshape(-1, 8).T.copy()
+            row = (number, len(words), packed(steps), len(ids), ids.tobytes(), known.tobytes(), out.tobytes(), per.astype(np.int64).tobytes(), len(tokens), packed(local.astype(np.int32)), int(per[~out].sum()), int((~out).sum()))
             return _batch([row], _TEXTS)
 
         for b in batches:
@@ -159,7 +162,7 @@ class Block:
     """A block's triples."""
 
     def __init__(self, r: dict):
-        self.words = np.frombuffer(r["words"], U64)
+        self.words = np.cumsum(np.frombuffer(unpacked(r["words"], 8 * r["n_words"], np.uint8).reshape(8, -1).T.tobytes(), U64), dtype=U64)
         self.tokens = unpacked(r["tokens"], r["n_tokens"], np.int32).astype(np.int64)
         self.per = np.frombuffer(r["per_doc"], np.int64)
         self.before = np.concatenate([[0], np.cumsum(self.per)])
@@ -194,31 +197,39 @@ class Block:
         which[order] = np.cumsum(new) - 1
         return [c[new] for c in ranked], which
 
-    def asked(self, hot: Hot, shards: int) -> tuple[list[np.ndarray], np.ndarray]:
-        """(v, u, w, shard, number in training texts) of the distinct triples by shard, v, u and w; which one each middle's is."""
-        (v, u, w), which = self.distinct(self.v, self.u, self.w)
-        n = np.bincount(which, self.train, len(v)).astype(np.int64)
-        hv, hu, hw = self.hashes(v), self.hashes(u), self.hashes(w)
-        pair = pair_key(hu, hv)
-        often = Hot.place(hot.words, hv) >= 0
-        by = np.where(often, np.where(Hot.place(hot.pairs, pair) >= 0, pair_key(hw, pair), pair), hv)
-        return self._ordered(v, u, w, n, textnp.mix(by.copy()), shards, which)
-
-    def asked_pairs(self, hot: Hot, shards: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-        """The same of the pairs (v, w) of hot words v; and the middles that have one."""
-        at = np.flatnonzero(Hot.place(hot.words, self.words)[self.v] >= 0) if len(self.words) else np.zeros(0, np.int64)
-        (v, w), which = self.distinct(self.v[at], self.w[at])
-        n = np.bincount(which, self.train[at], len(v)).astype(np.int64)
-        got, which = self._ordered(v, np.zeros(len(v), np.int64), w, n, pair_key(self.hashes(w), self.hashes(v)), shards, which)
-        return got, which, at
-
-    @staticmethod
-    def _ordered(v: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, by: np.ndarray, shards: int, which: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    def asked(self, hot: Hot, shards: int, part: int, parts: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """What the block asks the shards of one part.
+
+        (v, u, w, shard, number in training texts) of the distinct triples by
+        shard, v, u and w; the middles whose triples these are; which one each is.
+        """
+        by = textnp.mix(self.words.copy())[self.v]
+        m = np.flatnonzero((Hot.place(hot.words, self.words) >= 0)[self.v]) if len(hot.words) else []
+        if len(m):
+            hv = self.words[self.v[m]]
+            pair = pair_key(self.hashes(self.u[m]), hv)
+            by[m] = textnp.mix(np.where(Hot.place(hot.pairs, pair) >= 0, pair_key(self.words[self.w[m]], pair), pair))
+        return self._dealt(np.arange(len(self.v)), by, self.u, shards, part, parts)
+
+    def asked_pairs(self, hot: Hot, shards: int, part: int, parts: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """The same of the pairs (v, w) of hot words v."""
+        at = np.flatnonzero((Hot.place(hot.words, self.words) >= 0)[self.v])
+        by = pair_key(self.words[self.w[at]], self.words[self.v[at]])
+        return self._dealt(at, by, None, shards, part, parts)
+
+    def _dealt(self, at: np.ndarray, by: np.ndarray, u: np.ndarray | None, shards: int, part: int, parts: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
         shard = (by % U64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
+        mine = np.flatnonzero(shard % parts == part)
+        at, shard = at[mine], shard[mine]
+        got, which = self.distinct(self.v[at], *([u[at]] if u is not None else []), self.w[at])
+        of = np.empty(len(got[0]), np.int64)
+        of[which] = shard
+        n = np.bincount(which, self.train[at], len(of)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
-        return [v[order], u[order], w[order], shard[order], n[order]], back[which]
+        v, w = got[0][order], got[-1][order]
+        return [v, got[1][order] if u is not None else v, w, of[order], n[order]], at, back[which]
 
 
 def _near(h: np.ndarray) -> np.ndarray:
@@ -259,8 +270,8 @@ def _often(cutoff: int, words: np.ndarray | None):
 
 
 def _hot(texts: DataFrame, tokens: int, n: int, blocks: int, shards: int, s: Settings) -> Hot:
-    """Words and pairs with more than a quarter of a shard's tokens; blocks report what could sum up to that."""
-    least = max(2, min(s.shard_tokens, -(-tokens // shards)) // 4, n >> 18)
+    """Words and pairs with more tokens than half of a shard's, all of a shard's in any case; blocks report what could sum up to that."""
+    least = max(2, min(s.shard_tokens, -(-tokens // shards)), n >> 18)
     cutoff = max(1, least // (2 * max(1, blocks)))
 
     def found(words: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -291,8 +302,7 @@ def _asked(hot: Hot, shards: int, part: int, parts: int):
     """Blocks -> their distinct triples, and pairs of hot words, packed by shard; those shards whose number falls to ``part``."""
 
     def rows(block: int, kind: int, x: Block, got: list[np.ndarray]) -> Iterator[tuple]:
-        mine = got[3] % parts == part
-        v, u, w, shard, n = (c[mine] for c in got)
+        v, u, w, shard, n = got
         if not len(v):
             return
         edge = np.flatnonzero(np.concatenate([_starts(shard), [True]]))
@@ -309,9 +319,9 @@ def _asked(hot: Hot, shards: int, part: int, parts: int):
             for at in range(b.num_rows):
                 r = b.slice(at, 1).to_pylist()[0]
                 x = Block(r)
-                out = list(rows(r["block"], TRIPLE, x, x.asked(hot, shards)[0]))
+                out = list(rows(r["block"], TRIPLE, x, x.asked(hot, shards, part, parts)[0]))
                 if len(hot.words):
-                    out += rows(r["block"], PAIR, x, x.asked_pairs(hot, shards)[0])
+                    out += rows(r["block"], PAIR, x, x.asked_pairs(hot, shards, part, parts)[0])
                 yield _batch(out, _ASKED)
 
     return run
@@ -441,34 +451,37 @@ def _scored(hot: Hot, shards: int, t: Totals, s: Settings):
             for at in range(b.num_rows):
                 r = b.slice(at, 1).to_pylist()[0]
                 x = Block(r)
-                parts = sorted(r["answers"] or [], key=lambda p: p["shard"])
-                (v, u, w, shard, _), which = x.asked(hot, shards)
-                code3, code2 = ordered(parts, TRIPLE, "codes", "n", np.uint8), ordered(parts, TRIPLE, "more", "n", np.uint8)
-                if len(code3) != len(v):
-                    raise ValueError("a shard's answer is missing")
-                share = dequantise(ordered(parts, TRIPLE, "shares", "n", np.uint8))
-                # counts of words: of a hot one from the sums, of another from its one shard
-                first = _starts(shard, v) if len(v) else np.zeros(0, bool)
+                answers = sorted(r["answers"] or [], key=lambda p: p["shard"])
                 count, nexts = np.zeros(len(x.words), np.int64), np.zeros(len(x.words), np.int64)
-                count[v[first]], nexts[v[first]] = ordered(parts, TRIPLE, "counts", "n_v", np.int64), ordered(parts, TRIPLE, "nexts", "n_v", np.int32)
                 often = Hot.place(hot.words, x.words)
+                p3, p2, share = (np.zeros(len(x.v)) for _ in range(3))
+                for part in range(s.rounds):
+                    parts = [p for p in answers if p["shard"] % s.rounds == part]
+                    (v, u, w, shard, _), there, which = x.asked(hot, shards, part, s.rounds)
+                    code3, code2 = ordered(parts, TRIPLE, "codes", "n", np.uint8), ordered(parts, TRIPLE, "more", "n", np.uint8)
+                    if len(code3) != len(v):
+                        raise ValueError("a shard's answer is missing")
+                    three, left = dequantise(code3), dequantise(ordered(parts, TRIPLE, "shares", "n", np.uint8))
+                    # counts of words that are not hot, each from its one shard
+                    first = _starts(shard, v) if len(v) else np.zeros(0, bool)
+                    count[v[first]], nexts[v[first]] = ordered(parts, TRIPLE, "counts", "n_v", np.int64), ordered(parts, TRIPLE, "nexts", "n_v", np.int32)
+                    if len(hot.pairs):
+                        pair = Hot.place(hot.pairs, pair_key(x.hashes(u), x.words[v]))
+                        m = pair >= 0
+                        c = np.maximum(t.pair_count[pair[m]], 1)
+                        three[m] *= np.minimum(1.0, hot.pairs_seen[pair[m]] / c)
+                        left[m] = np.where(t.pair_count[pair[m]] > 0, np.minimum(1.0, d3 * t.pair_next[pair[m]] / c), 1.0)
+                    p3[there], p2[there], share[there] = three[which], dequantise(code2)[which], left[which]
                 m = often >= 0
                 count[m], nexts[m] = t.word_count[often[m]], t.word_next[often[m]]
                 count[x.words == END] = t.ends
-                p3, p2 = dequantise(code3), dequantise(code2)
-                if len(hot.words):
-                    pair = Hot.place(hot.pairs, pair_key(x.hashes(u), x.words[v]))
-                    m = pair >= 0
-                    c = np.maximum(t.pair_count[pair[m]], 1)
-                    p3[m] *= np.minimum(1.0, hot.pairs_seen[pair[m]] / c)
-                    share[m] = np.where(t.pair_count[pair[m]] > 0, np.minimum(1.0, d3 * t.pair_next[pair[m]] / c), 1.0)
-                p3, p2, share = p3[which], p2[which], share[which]
-                if len(hot.words):
-                    (v2, *_), of, there = x.asked_pairs(hot, shards)
+                for part in range(s.rounds if len(hot.words) else 0):
+                    parts = [p for p in answers if p["shard"] % s.rounds == part]
+                    (v, *_), there, which = x.asked_pairs(hot, shards, part, s.rounds)
                     got = ordered(parts, PAIR, "codes", "n", np.uint8)
-                    if len(got) != len(v2):
+                    if len(got) != len(v):
                         raise ValueError("a shard's answer is missing")
-                    p2[there] = dequantise(got)[of] * np.minimum(1.0, hot.words_seen[often[x.v[there]]] / np.maximum(count[x.v[there]], 1))
+                    p2[there] = dequantise(got)[which] * np.minimum(1.0, hot.words_seen[often[x.v[there]]] / np.maximum(count[x.v[there]], 1))
                 low = unigram(count, t.n, t.v, s)
                 p = low[x.tokens]
                 c = np.maximum(count, 1)
@@ -516,24 +529,33 @@ def _score(docs: DataFrame, held_out: Column, s: Settings, text: str, doc_id: st
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(q(doc_id).cast("long").alias("doc"), F.coalesce(held_out, F.lit(False)).alias("held"), q(text).cast("string").alias("__text"))
-    texts, _ = table(spark, _blocks(rows, s))
-    small_batches(spark, 8)  # blocks of some MB
+    texts, texts_path = table(spark, _blocks(rows, s))
+    small_batches(spark, 2)  # blocks of some MB
     sums = texts.agg(F.count("*").alias("blocks"), F.sum("n_tokens").alias("tokens"), F.sum("n_train").alias("n"), F.sum("n_train_docs").alias("ends")).first()
     n, ends, tokens = sums["n"] or 0, sums["ends"] or 0, sums["tokens"] or 0
     shards = int(max(2 * shuffle_parts(spark), -(-tokens // s.shard_tokens)))
     hot = _hot(texts, tokens, n, sums["blocks"], shards, s)
-    answers = None
+    answers, paths = None, []
     for part in range(s.rounds):
         asked = texts.mapInArrow(_asked(hot, shards, part, s.rounds), ASKED).groupBy("shard")
-        got, _ = table(spark, asked.applyInArrow(_answered(hot, n, s, keep_model), ANSWERED))
+        got, path = table(spark, asked.applyInArrow(_answered(hot, n, s, keep_model), ANSWERED))
         answers = got if answers is None else answers.union(got)
+        paths.append(path)
         release(spark)
     v = (answers.where(F.col("block") == WORDS).agg(F.sum("n").alias("v")).first()["v"] or 0) + (ends > 0)
     words, pairs = _hot_sums(spark, answers, HOT_WORDS, len(hot.words)), _hot_sums(spark, answers, HOT_PAIRS, len(hot.pairs))
     totals = Totals(n, v + int((words[0] > 0).sum()), ends, *words, *pairs)
-    by_block = answers.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "kind", "n", "n_v", "codes", "more", "shares", "counts", "nexts")).alias("answers"))
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    scored = texts.join(by_block, "block", "left").mapInArrow(_scored(hot, shards, totals, s), schema)
-    if not keep_model:
-        return scored, None
-    return scored, answers.where(F.col("block") == MODEL).select("shard", F.col("codes").alias("trie"))
+    scores = None
+    # the blocks meet their answers in parts too: each part's shuffle files go before the next
+    for part in range(s.rounds):
+        of = F.pmod(F.col("block"), F.lit(s.rounds)) == part
+        by_block = answers.where(of & (F.col("block") >= 0)).groupBy("block").agg(F.collect_list(F.struct("shard", "kind", "n", "n_v", "codes", "more", "shares", "counts", "nexts")).alias("answers"))
+        got, _ = table(spark, texts.where(of).join(by_block, "block", "left").mapInArrow(_scored(hot, shards, totals, s), schema))
+        scores = got if scores is None else scores.union(got)
+        release(spark)
+    model = answers.where(F.col("block") == MODEL).select("shard", F.col("codes").alias("trie")) if keep_model else None
+    for path in [texts_path, *([] if keep_model else paths)]:
+        drop_table(spark, path)
+    own_batches(spark)
+    return scores, model
