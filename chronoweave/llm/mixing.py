@@ -133,7 +133,12 @@ def source_targets(sizes: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _taken_before(x: Column, block: int) -> Column:
-    """Words of the picked runs among the first ``x`` words of a shard's line, ``rest_words`` at most.
+    """Words of the picked runs among the first ``x`` words of a shard's line, ``rest_words`` at most."""
+    return F.least(F.col("rest_words"), _picked_before(x, block))
+
+
+def _picked_before(x: Column, block: int) -> Column:
+    """The same without the quota's end.
 
     Run j of n is picked when floor((j + 1 + u) r / n) exceeds floor((j + u) r / n),
     so the first j runs hold floor((j + u) r / n) - floor(u r / n) picked ones.
@@ -144,7 +149,7 @@ def _taken_before(x: Column, block: int) -> Column:
     def picked(k: Column) -> Column:
         return F.floor((k + u) * r / n) - F.floor(u * r / n)
 
-    return F.least(F.col("rest_words"), picked(j) * block + (picked(j + 1) - picked(j)) * (x - j * block))
+    return picked(j) * block + (picked(j + 1) - picked(j)) * (x - j * block)
 
 
 def mix_quotas(docs: DataFrame, mix: Mix = Mix(), text: str = "text", doc_id: str = "doc_id", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -218,8 +223,14 @@ def mixed_texts(docs: DataFrame, mix: Mix = Mix(), text: str = "text", doc_id: s
     taken = mix_quotas(docs.toDF(*at.values()), mix, at[text], at[doc_id], at[source], keep=tuple(at.values()))
     whole = at[text]
     words = F.regexp_extract_all(F.regexp_replace(F.col(whole), f"^{WS_CLASS}+", ""), F.lit(f"{WORD_CLASS}+{WS_CLASS}*"), 0)
+    run = lambda i: F.floor((F.col("line_start") + i) / mix.block_words)
+    n, r, u = (F.col(c) for c in ("blocks", "rest", "start"))
+    in_run = F.filter(words, lambda _, i: F.floor((run(i) + 1 + u) * r / n) > F.floor((run(i) + u) * r / n))
+    # the quota ends in few documents; only there each word is held against its end
     before = lambda i: _taken_before(F.col("line_start") + i, mix.block_words)
-    chosen = F.filter(words, lambda _, i: before(i + 1) > before(i))
+    in_quota = F.filter(words, lambda _, i: before(i + 1) > before(i))
+    ends_later = _picked_before(F.col("line_start") + F.col("size"), mix.block_words) <= F.col("rest_words")
+    chosen = F.when(ends_later, in_run).otherwise(in_quota)
     part = F.when(F.col("taken") > F.col("passes") * F.col("size"), F.array_join(chosen, ""))
     copies = F.concat(
         F.when((F.col("passes") > 0) & (F.col("size") > 0), F.array_repeat(F.col(whole), F.col("passes").cast("int"))).otherwise(F.array().cast("array<string>")),
