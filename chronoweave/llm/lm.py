@@ -65,7 +65,7 @@ class Settings:
     discounts: tuple[float, float, float] = (0.75, 0.75, 0.9)
     #: Unseen words in the open vocabulary, for each word of the training texts and once more.
     open_words: float = 1.0
-    block_bytes: int = 1 << 23
+    block_bytes: int = 5 << 20
     #: Tokens of a shard, on average.
     shard_tokens: int = 1 << 20
     rounds: int = 3
