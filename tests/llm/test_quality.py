@@ -86,6 +86,33 @@ def test_score_and_verdict(spark):
     assert quality.measures(table, keep=("doc_id", "kept")).where("kept").count() == len(rows)
 
 
+def test_a_large_target_counts_whole(spark, monkeypatch):
+    rng = random.Random(4)
+    vocab = [a + b for a in "abc" for b in "wxyz"]
+    rows = [(i, " ".join(rng.choices(vocab, k=12))) for i in range(21_000)]
+    rows += [(i, " ".join(x + "%%%" for x in rng.choices(vocab, k=12))) for i in range(21_000, 21_500)]
+    rows += [(5, rows[5][1]), (None, rows[0][1])]
+    trusted = range(20_800)
+    want = brute(rows, set(trusted))
+    assert {v for _, v in want.values()} == {True, False}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ids = spark.createDataFrame([(i,) for i in [*trusted, 5, None]], "doc_id long")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    own = spark.conf.get(key)
+    for bound in (own, "-1"):  # the target's marks broadcast, then met in a shuffle
+        spark.conf.set(key, bound)
+        monkeypatch.setattr(quality, "BROADCAST_ROWS", 2**26 if bound == own else 0)
+        try:
+            got = quality.judge(docs, ids, RULES).collect()
+        finally:
+            spark.conf.set(key, own)
+        assert len(got) == len(rows)
+        for r in got:
+            score, kept = want[r.doc_id]
+            assert r.score == pytest.approx(score, abs=1e-9)
+            assert r.kept == kept
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 @pytest.mark.parametrize(("name", "sql"), [("quality_measures", oracles.QUALITY_MEASURES), ("op6_suffix_array", oracles.PASSAGES), ("op9_near_duplicates", oracles.NEAR_DUPLICATES)])
 def test_sql_says_the_same(spark, name, sql):
